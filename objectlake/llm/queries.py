@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objectlake.llm import bpe, packing, secrets, sharding, urls
+from objectlake.llm import bpe, minhash, packing, secrets, sharding, urls
 from objectlake.llm.common import table, written
 
 
@@ -46,12 +46,17 @@ def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def near_duplicates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": packing_query,
     "op5_secret_scans": secrets_query,
     "op7_url_filters": urls_query,
     "op8_sharding": sharding_query,
     "op9_bpe": bpe_query,
+    "op10_minhash_near_dedup": near_duplicates_query,
 }
 
 ORACLES: dict[str, str] = {}
