@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objectlake.llm import bpe, minhash, packing, secrets, sharding, urls
+from objectlake.llm import bpe, minhash, packing, repeats, secrets, sharding, urls
 from objectlake.llm.common import table, written
 
 
@@ -50,8 +50,14 @@ def near_duplicates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.removed(table(spark, sf_dir, "documents"))
+    return out.select(F.col("k").alias("doc_id"), "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_best_fit_packing": packing_query,
+    "op4_suffix_array_dedup": repeats_query,
     "op5_secret_scans": secrets_query,
     "op7_url_filters": urls_query,
     "op8_sharding": sharding_query,
