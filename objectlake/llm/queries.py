@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objectlake.llm import bpe, minhash, packing, repeats, secrets, sharding, urls
+from objectlake.llm import bpe, langid, minhash, packing, quality, repeats, secrets, sharding, urls
 from objectlake.llm.common import table, written
 
 
@@ -55,10 +55,27 @@ def repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("k").alias("doc_id"), "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
+def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    return langid.identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
+
+
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.assess(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_best_fit_packing": packing_query,
+    "op2_language_id": language_query,
     "op4_suffix_array_dedup": repeats_query,
     "op5_secret_scans": secrets_query,
+    "op6_quality_rules": quality_query,
     "op7_url_filters": urls_query,
     "op8_sharding": sharding_query,
     "op9_bpe": bpe_query,
