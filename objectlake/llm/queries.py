@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objectlake.llm import bpe, langid, minhash, packing, quality, repeats, secrets, sharding, urls
+from objectlake.llm import bpe, langid, minhash, packing, quality, repeats, secrets, sharding, spherical, urls
 from objectlake.llm.common import table, written
 
 
@@ -70,9 +70,14 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def embeddings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spherical.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_best_fit_packing": packing_query,
     "op2_language_id": language_query,
+    "op3_embedding_near_dedup": embeddings_query,
     "op4_suffix_array_dedup": repeats_query,
     "op5_secret_scans": secrets_query,
     "op6_quality_rules": quality_query,
