@@ -9,7 +9,7 @@ and every anchor stands for the windows around it.
 1. Anchors are dealt by their hash.  Those that occur once can repeat nothing.
    Where the whole surroundings of an anchor (all windows that hold it) occur
    again, the surroundings are repeated, and one of them stays as a witness.
-2. The surroundings of the other anchors are cut from the texts and sorted by
+2. The surroundings of the other anchors (of their own windows alone) are cut from the texts and sorted by
    what follows the anchor: a suffix array, with the lengths of common prefixes
    of neighbours.  A scan with a stack visits the tree of common-prefix
    intervals.  Within an interval the occurrences are sorted by what precedes
@@ -52,11 +52,14 @@ _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << i, 1 << 64)) for i in range(5)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def anchors(text: bytes, length: int = LENGTH) -> np.ndarray:
-    """The places of the anchors of all windows, ascending."""
+def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of the anchors of all windows, ascending, with the starts of the first and the last window of each.
+
+    An anchor's windows follow each other.
+    """
     n = len(text)
     if n < length:
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     data, width = np.frombuffer(text, np.uint8), length - GRAM + 1
     found = []
     for at in range(0, n - length + 1, STRETCH):
@@ -74,15 +77,14 @@ def anchors(text: bytes, length: int = LENGTH) -> np.ndarray:
             step *= 2
         if step < width:
             done = np.minimum(done[: len(h) - width + 1], done[width - step :])
-        change = np.flatnonzero(done[1:] != done[:-1]) + 1
-        places = (done[np.concatenate([[0], change])] & _PLACE).astype(np.int64) + at
-        found.append(places)
-    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
-
-
-def surroundings(text: bytes, at: int, length: int = LENGTH) -> tuple[int, int]:
-    """Start and end of all windows that hold the anchor ``at``."""
-    return max(0, at - (length - GRAM)), min(len(text), at + length)
+        first = np.concatenate([[0], np.flatnonzero(done[1:] != done[:-1]) + 1])
+        found.append(((done[first] & _PLACE).astype(np.int64) + at, first + at, np.append(first[1:], len(done)) - 1 + at))
+    places, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+    if len(found) > 1:  # an anchor with windows in two stretches
+        new = np.concatenate([[True], places[1:] != places[:-1]])
+        first, last = first[new], np.maximum.reduceat(last, np.flatnonzero(new))
+        places = places[new]
+    return places, first, last
 
 
 def _signed(x: int) -> int:
@@ -208,27 +210,30 @@ def _keyed(df: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def _sample(df: DataFrame, length: int) -> DataFrame:
-    """Rows of anchors (a: hash, c: hash of the surroundings, k, at, many) and, with ``at`` = -1 - start, of stretches known to be repeated (c: end)."""
+    """Rows of anchors (a: hash, c: hash of the surroundings, k, at) and, with ``at`` = -1 - start, of stretches known to be repeated (c: end).
+
+    ``at`` of an anchor holds its place, how far before it its first window
+    starts, how far its windows start apart (8 bits each), and whether the
+    surroundings occur more than once (1 bit).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             a, c, k, at, lo, hi = [], [], [], [], [], []
             for key, text in zip(keys.tolist(), raw(batch.column(1)), strict=True):
-                places = anchors(text, length).tolist()
-                n = len(text)
-                for p in places:
-                    start, end = max(0, p - (length - GRAM)), min(n, p + length)
+                places, first, last = anchors(text, length)
+                for p, start, end in zip(places.tolist(), first.tolist(), (last + length).tolist(), strict=True):
                     a.append(xxhash.xxh3_64_intdigest(text[p : p + GRAM]))
                     c.append(xxhash.xxh3_64_intdigest(text[start:end], p - start))
-                    lo.append(start)
-                    hi.append(end)
                 k += [key] * len(places)
-                at += places
+                at.append(((places << 8) + (places - first) << 8) + (last - first))
+                lo.append(first)
+                hi.append(last + length)
             if not a:
                 continue
             a, c = np.array(a, np.uint64).view(np.int64), np.array(c, np.uint64).view(np.int64)
-            k, at, lo, hi = (np.array(x, np.int64) for x in (k, at, lo, hi))
+            k, (at, lo, hi) = np.array(k, np.int64), (np.concatenate(x) for x in (at, lo, hi))
             order = np.lexsort((c, a))
             new = np.ones(len(order), bool)
             new[1:] = (a[order][1:] != a[order][:-1]) | (c[order][1:] != c[order][:-1])
@@ -323,7 +328,7 @@ def _cut(texts: DataFrame, flags: DataFrame, length: int) -> DataFrame:
                         if e > 0:
                             known.append((p, e))
                             continue
-                        start, end = surroundings(text, p, length)
+                        p, start, end = _place(p, length)
                         if e < 0:
                             known.append((start, end))
                         g.append(_signed(xxhash.xxh3_64_intdigest(text[p : p + GRAM])))
@@ -342,6 +347,13 @@ def _cut(texts: DataFrame, flags: DataFrame, length: int) -> DataFrame:
     return both.mapInArrow(run, "g long, k long, at long, before binary, after binary")
 
 
+def _place(packed: int, length: int) -> tuple[int, int, int]:
+    """An anchor's place, and start and end of all its windows."""
+    at = packed >> 16
+    start = at - (packed >> 8 & 255)
+    return at, start, start + (packed & 255) + length
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Sorted spans, those that overlap or touch made one."""
     out: list[tuple[int, int]] = []
@@ -408,8 +420,12 @@ def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     return texts, covered.groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def removed(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH) -> DataFrame:
-    """Every row's key with ``n_bytes``, ``n_removed``, ``spans`` (merged runs) and ``kept`` (binary, the bytes that stay)."""
+def removed(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """Every row's key ``k`` with ``n_bytes``, ``n_removed``, ``starts`` and ``ends`` (of the merged runs) and ``kept``, the bytes that stay.
+
+    ``as_text`` returns ``kept`` as a string, without what a run has left of a character.
+    """
+    kind = pa.string() if as_text else pa.binary()
     texts, spans = repeated_spans(df, text, key, length)
     both = texts.join(spans.hint("shuffle_hash"), "k", "left").select("k", "z", "spans.start", "spans.end")
 
@@ -430,8 +446,9 @@ def removed(df: DataFrame, text: str = "text", key: str = "doc_id", length: int
                     gone.append(sum(b - a for a, b in runs))
                     starts.append([a for a, _ in runs])
                     ends.append([b for _, b in runs])
-                    kept.append(b"".join(stay))
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=["k", "n_bytes", "n_removed", "starts", "ends", "kept"])
+                    stay = b"".join(stay)
+                    kept.append(stay.decode(errors="ignore") if as_text else stay)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(kept, kind)], names=["k", "n_bytes", "n_removed", "starts", "ends", "kept"])
 
-    return both.mapInArrow(run, "k long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary")
+    return both.mapInArrow(run, "k long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept " + ("string" if as_text else "binary"))
 

@@ -101,7 +101,16 @@ def test_maximal_repeats_have_all_occurrences():
 def test_anchors_depend_on_the_window_alone():
     rng = random.Random(5)
     text = bytes(rng.choice(b"abcd ") for _ in range(3000))
-    every = set(repeats.anchors(text).tolist())
+    every = {w: p for p, a, b in zip(*[x.tolist() for x in repeats.anchors(text)], strict=True) for w in range(a, b + 1)}
+    assert sorted(every) == list(range(2801))
     for i in range(0, 2800, 7):
-        (at,) = repeats.anchors(text[i : i + 200]).tolist()
-        assert i + at in every
+        (at,), (first,), (last,) = repeats.anchors(text[i : i + 200])
+        assert every[i] == i + at and first == last == 0
+
+
+def test_anchors_of_long_texts(monkeypatch):
+    rng = random.Random(6)
+    text = bytes(rng.choice(b"abcd ") for _ in range(5000)) + b"z" * 900 + b"xy" * 700
+    whole = [x.tolist() for x in repeats.anchors(text)]
+    monkeypatch.setattr(repeats, "STRETCH", 130)
+    assert [x.tolist() for x in repeats.anchors(text)] == whole
