@@ -1,0 +1,54 @@
+import re
+
+import corpus_pipeline as cp
+from test_minhash import brute as near
+from test_repeats import brute as repeated
+from test_simple_ops import check_packed
+
+from objectlake.llm import queries
+
+
+def pairs(df):
+    return {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+
+
+def test_stages_and_run(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names, at = docs.columns, docs
+    results = []
+    for i, (_, stage) in enumerate(cp.STAGES):
+        stage(spark, at, sf).write.parquet(f"{tmp_path}/{i}")
+        at = spark.read.parquet(f"{tmp_path}/{i}")
+        results.append(at)
+    raw, a, b, c, d = pairs(docs), *map(pairs, results[:4])
+    assert all(r.columns == names for r in results[:4])
+    assert a == {k: t for k, t in raw.items() if re.search(r"[^\W\d_]", t or "")}
+    groups = near(a)
+    assert b == {k: t for k, t in a.items() if groups[k][1] == k}
+    ids = sorted(b)
+    cut = repeated([(b[k] or "").encode() for k in ids])
+    want = {k: bytes(x for x, h in zip((b[k] or "").encode(), hit, strict=True) if not h).decode(errors="ignore") for k, hit in zip(ids, cut, strict=True)}
+    assert c == want
+    assert d.keys() == c.keys() and not any(re.search(r"AKIA[A-Z0-9]{14}", t) for t in d.values())
+    assert any(d[k] != c[k] for k in d)
+    pieces = results[4].collect()
+    assert {r.doc_id for r in pieces} == d.keys()
+    check_packed(pieces)
+    final = {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in queries.QUERIES.get("pipeline", cp.run)(spark, sf).collect()}
+    assert final == {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in pieces}
+
+
+def test_odd_rows(spark, odd, tmp_path):
+    at = odd
+    for i, (_, stage) in enumerate(cp.STAGES):
+        stage(spark, at, "").write.parquet(f"{tmp_path}/{i}")
+        at = spark.read.parquet(f"{tmp_path}/{i}")
+    kept = {r.doc_id for r in spark.read.parquet(f"{tmp_path}/0").collect()}
+    texts = {r.doc_id: r.text for r in odd.collect()}
+    assert kept == {k for k, t in texts.items() if t and re.search(r"[^\W\d_]", t)}
+    assert at.count() > 0
+
+
+def test_empty(spark, odd):
+    for _, stage in cp.STAGES:
+        assert stage(spark, odd.limit(0), "").count() == 0
