@@ -51,20 +51,26 @@ def normal(counts: np.ndarray) -> np.ndarray:
     return (x / n if n else x).astype(np.float32)
 
 
+def thin(x: np.ndarray) -> tuple[bytes, bytes]:
+    """The places (32 bits) and values (32 bits) of what is not zero."""
+    at = np.flatnonzero(x)
+    return at.astype(np.int32).tobytes(), x[at].astype(np.float32).tobytes()
+
+
 class Sparse:
-    """Rows of (index, value) pairs."""
+    """Rows of (places, values), as ``thin`` packs them."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> None:
-        self.index = np.concatenate([np.asarray(i, np.int64) for i, _ in rows]) if rows else np.zeros(0, np.int64)
-        self.value = np.concatenate([np.asarray(v, np.float64) for _, v in rows]) if rows else np.zeros(0)
-        self.row = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
+    def __init__(self, rows: list[tuple[bytes, bytes]], width: int) -> None:
+        self.index = np.frombuffer(b"".join(i for i, _ in rows), np.int32)
+        self.value = np.frombuffer(b"".join(v for _, v in rows), np.float32)
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) // 4 for i, _ in rows])
         self.shape = (len(rows), width)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * w[self.index], self.shape[0])
+        return np.bincount(self.row, self.value * w.astype(np.float32)[self.index], self.shape[0])
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.index, self.value * r[self.row], self.shape[1])
+        return np.bincount(self.index, self.value * r.astype(np.float32)[self.row], self.shape[1])
 
 
 def fit(x: Sparse, y: np.ndarray, loss: str, penalty: float, rounds: int = 120, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:

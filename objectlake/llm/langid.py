@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from objectlake.llm.common import texts
-from objectlake.llm.features import Sparse, char_counts, fit, has_letter, normal, platt, sigmoid
+from objectlake.llm.features import Sparse, char_counts, fit, has_letter, normal, platt, sigmoid, thin
 
 #: Language codes by family.
 FAMILIES = {
@@ -80,8 +80,8 @@ class Model:
         return out
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
-    """Fits the model on (language, indices, values)."""
+def train(rows: list[tuple[str, bytes, bytes]]) -> Model:
+    """Fits the model on (language, places, values)."""
     languages = sorted({r[0] for r in rows})
     model = Model()
     for code in languages:
@@ -127,16 +127,14 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
             lang_, index, value = [], [], []
             for code, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 if has_letter(t):
-                    x = vector(t)
-                    at = np.flatnonzero(x)
+                    at, x = thin(vector(t))
                     lang_.append(code)
-                    index.append(at.astype(np.int32))
-                    value.append(x[at])
-            yield pa.RecordBatch.from_arrays([pa.array(lang_, pa.string()), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=["lang", "at", "x"])
+                    index.append(at)
+                    value.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(lang_, pa.string()), pa.array(index, pa.binary()), pa.array(value, pa.binary())], names=["lang", "at", "x"])
 
-    sample = known.where(draw < share).select(F.col(lang), F.col(text)).mapInArrow(run, "lang string, at array<int>, x array<float>")
-    rows = sample.toArrow()
-    return train([(a, np.array(i), np.array(v)) for a, i, v in zip(*[c.to_pylist() for c in rows.columns], strict=True)])
+    sample = known.where(draw < share).select(F.col(lang), F.col(text)).mapInArrow(run, "lang string, at binary, x binary")
+    return train([tuple(r) for r in sample.collect()])
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
