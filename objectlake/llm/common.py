@@ -20,11 +20,11 @@ ROOT = str(Path(__file__).resolve().parents[2])
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers that don't share the driver's path.
 
-    Nothing is done where PYTHONPATH or the working folder already leads to it.
+    Workers of local sessions have the driver's PYTHONPATH and working folder; others are sent a copy, once.
     """
     known = [os.path.realpath(p or ".") for p in [*os.environ.get("PYTHONPATH", "").split(":"), os.getcwd()]]
     context = spark.sparkContext
-    if os.path.realpath(ROOT) in known or getattr(context, "_objectlake_shipped", False):
+    if context.master.startswith("local") and os.path.realpath(ROOT) in known or getattr(context, "_objectlake_shipped", False):
         return
     top = tempfile.mkdtemp(prefix="objectlake-ship-")
     atexit.register(shutil.rmtree, top, True)
