@@ -87,4 +87,50 @@ QUERIES = {
     "op10_minhash_near_dedup": near_duplicates_query,
 }
 
-ORACLES: dict[str, str] = {}
+#: The rules and the whole hierarchy in SQL: shares, strengths by moments, posterior bounds, the verdict of each host.
+URLS_SQL = r"""
+WITH split AS (
+  SELECT page_id, rest, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         length(regexp_extract(rest, '^[^/?#]*')) AS n_host
+  FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)
+), page AS (
+  SELECT page_id, host, regexp_extract(substr(rest, n_host + 1), '^[^?#]*') AS path,
+         regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare
+  FROM split
+), named AS (
+  SELECT page_id, host, path, string_split(bare, '.')[-1] AS suffix,
+         CASE WHEN len(string_split(bare, '.')) > 1 THEN string_split(bare, '.')[-2] || '.' || string_split(bare, '.')[-1] ELSE bare END AS domain
+  FROM page
+), outcome AS (
+  SELECT host, domain, suffix, CAST(coalesce(quality = 0, false) OR coalesce(toxic = 1, false) AS INTEGER) AS bad
+  FROM named JOIN labels ON page_id = doc_id WHERE quality IS NOT NULL OR toxic IS NOT NULL
+), total AS (SELECT (coalesce(sum(bad), 0) + 0.5::DOUBLE) / (count(*) + 1) AS p FROM outcome),
+s0 AS (SELECT suffix, count(*) AS n, sum(bad) AS bad, any_value(p) AS p FROM outcome, total GROUP BY suffix),
+s1 AS (SELECT {strength} AS k FROM s0),
+s2 AS (SELECT suffix, {share} AS share, n + k AS w FROM s0, s1),
+d0 AS (SELECT domain, count(*) AS n, sum(bad) AS bad, any_value(share) AS p FROM outcome JOIN s2 USING (suffix) GROUP BY domain),
+d1 AS (SELECT {strength} AS k FROM d0),
+d2 AS (SELECT domain, {share} AS share, n + k AS w FROM d0, d1),
+h0 AS (SELECT host, count(*) AS n, sum(bad) AS bad, any_value(share) AS p FROM outcome JOIN d2 USING (domain) GROUP BY host),
+h1 AS (SELECT {strength} AS k FROM h0),
+h2 AS (SELECT host, {share} AS share, n + k AS w FROM h0, h1),
+judged AS (
+  SELECT page_id, named.host, path, coalesce({bound_h}, {bound_d}, {bound_s}, 0) > 0.5 AS blocked
+  FROM named LEFT JOIN h2 h ON named.host = h.host LEFT JOIN d2 d ON named.domain = d.domain LEFT JOIN s2 s ON named.suffix = s.suffix
+), ruled AS (
+  SELECT *, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+                 WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+                 WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+                 WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+                 WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule
+  FROM judged
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL OR blocked THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+""".format(
+    strength="CASE WHEN sum(n * (n - 1) * p * (1 - p)) > 0 AND sum((bad - n * p) ** 2 - n * p * (1 - p)) > 0 THEN least(10000, greatest(1, 1 / least(1, sum((bad - n * p) ** 2 - n * p * (1 - p)) / sum(n * (n - 1) * p * (1 - p))) - 1)) ELSE 10000 END",
+    share="(bad + p * k) / (n + k)",
+    **{f"bound_{x}": f"({x}.share - 1.645 * sqrt({x}.share * (1 - {x}.share) / ({x}.w + 1)))" for x in "hds"},
+)
+
+ORACLES: dict[str, str] = {"op7_url_filters": URLS_SQL}
