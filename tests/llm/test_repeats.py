@@ -42,8 +42,11 @@ def test_repeats_query(spark, sf):
     assert sum(n for _, n, *_ in want.values()) > 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_repeats_random(spark, lake, seed):
+@pytest.mark.parametrize(("seed", "group"), [(1, 200_000), (2, 2)])
+def test_repeats_random(spark, lake, seed, group, monkeypatch):
+    """With a small ``group`` windows of frequent anchors are counted."""
+    monkeypatch.setattr(repeats, "GROUP", group)
+    monkeypatch.setattr(repeats, "SAMPLED", 1)
     rng = random.Random(seed)
 
     def words(n):

@@ -60,14 +60,14 @@ def test_groups_and_odd_vectors(spark, block, monkeypatch):
 
 def test_recall_at_the_threshold(spark):
     rng = np.random.default_rng(8)
-    a = spherical.unit(rng, 1500, 64)
-    b = spherical.unit(rng, 1500, 64)
+    a = spherical.unit(rng, 600, 64)
+    b = spherical.unit(rng, 600, 64)
     b -= (a * b).sum(axis=1, keepdims=True) * a
     b /= np.linalg.norm(b, axis=1, keepdims=True)
     b = 0.9005 * a + np.sqrt(1 - 0.9005**2) * b
     rows = list(enumerate(np.concatenate([a, b]).tolist()))
     got = found(spherical.near_duplicates(make(spark, rows)))
-    assert sum(got[i + 1500][1] == i for i in range(1500)) >= 0.95 * 1500
+    assert sum(got[i + 600][1] == i for i in range(600)) >= 0.95 * 600
 
 
 def test_decoding_lists_all_filters():
