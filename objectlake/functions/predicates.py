@@ -56,6 +56,7 @@ def parse_filters(params: Mapping[str, str | list[str]], field: Callable[[str],
 
     Of a parameter given more than once the first value counts; an empty field
     name and other parameters are ignored; a field that is missing never matches.
+    The result is for ``where``, to which null is no match; left bare, equality and prefixes reach the scan.
     """
     first = {k: (v if isinstance(v, str) else v[0] if v else "") for k, v in params.items()}
     ci, found = parse_ci(first.get("ci")), []
@@ -65,7 +66,7 @@ def parse_filters(params: Mapping[str, str | list[str]], field: Callable[[str],
             continue
         column = field(name)
         test = F.lit(False) if column is None else (eq if kind == "eq" else like)(column, value, ci)
-        found.append(F.coalesce(test, F.lit(False)))
+        found.append(test)
     return reduce(lambda a, b: a & b, found) if found else None
 
 
