@@ -14,14 +14,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers that don't share the driver's path.
 
+    Where the session leaves the rows of an Arrow batch to Spark, it gets fewer: rows are whole texts here.
     Workers of local sessions have the driver's PYTHONPATH and working folder; others are sent a copy, once.
     """
+    if spark.conf.get(BATCH_ROWS, None) is None:
+        spark.conf.set(BATCH_ROWS, "2000")
     known = [os.path.realpath(p or ".") for p in [*os.environ.get("PYTHONPATH", "").split(":"), os.getcwd()]]
     context = spark.sparkContext
     if context.master.startswith("local") and os.path.realpath(ROOT) in known or getattr(context, "_objectlake_shipped", False):
