@@ -133,4 +133,52 @@ FROM ruled
     **{f"bound_{x}": f"({x}.share - 1.645 * sqrt({x}.share * (1 - {x}.share) / ({x}.w + 1)))" for x in "hds"},
 )
 
-ORACLES: dict[str, str] = {"op7_url_filters": URLS_SQL}
+#: All pairs by cosine, and what they reach.
+EMBEDDINGS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (
+  SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e) AND len(list_filter(e, lambda x: x <> 0)) > 0
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9
+),
+reach AS (SELECT vec_id AS node, vec_id AS other FROM v UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.other = links.a),
+comp AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT node AS vec_id, coalesce(n, 0) AS n_links, component_id, node = component_id AS kept FROM comp LEFT JOIN degree ON a = node
+"""
+
+#: Pairs that share a shingle, on their full sets, and what they reach.
+NEAR_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda w: w <> '') AS w FROM documents
+),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)
+),
+reach AS (SELECT doc_id AS node, doc_id AS other FROM d UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.other = links.a),
+comp AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT node AS doc_id, coalesce(n, 0) AS n_shingles, component_id, node = component_id AS kept FROM comp LEFT JOIN n ON n.doc_id = node
+"""
+
+#: All windows of 200 bytes, as hex digits, by a 64-bit hash.
+REPEATS_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+chunks AS (SELECT doc_id, j, substr(x, 1024 * j + 1, 1422) AS c FROM (SELECT doc_id, x, unnest(range(0, (length(x) // 2 - 200) // 512 + 1)) AS j FROM b WHERE length(x) >= 400)),
+windows AS (SELECT doc_id, 512 * j + i AS i, hash(substr(c, 2 * i + 1, 400)) AS m FROM (SELECT doc_id, j, c, unnest(range(0, least(512, length(c) // 2 - 199))) AS i FROM chunks)),
+again AS (SELECT doc_id, i FROM windows WHERE m IN (SELECT m FROM windows GROUP BY m HAVING count(*) > 1)),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM again),
+runs AS (SELECT doc_id, min(i) AS lo, max(i) + 200 AS hi FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked) GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM runs),
+kept AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, max(hi) AS last, string_agg(substr(x, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS head FROM cuts JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT b.doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM b LEFT JOIN kept ON kept.doc_id = b.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op4_suffix_array_dedup": REPEATS_SQL, "op3_embedding_near_dedup": EMBEDDINGS_SQL, "op7_url_filters": URLS_SQL, "op10_minhash_near_dedup": NEAR_SQL}

@@ -266,15 +266,3 @@ def test_urls_empty(spark, lake, empty):
     tables = {"pages": pages, "labels": labels}
     tables[empty] = tables[empty].limit(0)
     assert queries.urls_query(spark, lake(**tables)).count() == (empty == "labels")
-
-
-def test_urls_query_against_sql(spark, sf):
-    import duckdb
-
-    con = duckdb.connect()
-    for name in ("pages", "labels"):
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
-    rel = con.sql(queries.URLS_SQL)
-    want = Counter(rel.fetchall())
-    got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in queries.urls_query(spark, sf).select(*rel.columns).collect())
-    assert got == want
