@@ -38,11 +38,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated passages out of the texts; a character that is cut through goes as a whole.  Documents stay, if with less text."""
+    """Takes repeated passages out of the texts; a character that is cut through goes as a whole.  Documents stay, if with less text; null text becomes empty."""
     ship(spark)
-    kept = repeats.removed(docs.select("doc_id", "text"), as_text=True).where("n_removed > 0").select(F.col("k").alias("doc_id"), "kept").dropDuplicates(["doc_id"])
-    text = F.coalesce("kept", "text")
-    out = docs.select(*COLUMNS).join(kept, "doc_id", "left").withColumn("text", text)
+    out = repeats.removed(docs, as_text=True, carry=("doc_id", "lang", "source")).select("carried.*", F.col("kept").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

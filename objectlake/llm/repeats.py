@@ -20,7 +20,7 @@ and every anchor stands for the windows around it.
 Sums, sorts and joins are keyed by anchor or document.  Equal surroundings are
 merged within a batch before the shuffle, so copies of a passage cost one row
 for each batch.  One task sorts the different surroundings of one anchor, 368
-bytes for each occurrence.
+bytes at most for each.
 
 Null text is empty.  Rows with equal ids must be the same row; it counts as
 often as it is there.  Rows without an id are told apart by their text.
@@ -204,9 +204,10 @@ def reach(group: Group, least: int) -> tuple[np.ndarray, np.ndarray]:
 # ---- on tables --------------------------------------------------------------------------
 
 
-def _keyed(df: DataFrame, text: str, key: str) -> DataFrame:
+def _keyed(df: DataFrame, text: str, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
-    return df.select(F.coalesce(F.col(key).cast("long"), F.xxhash64(whole)).alias("k"), whole.alias("_text"))
+    more = [F.struct(*carry).alias("carried")] if carry else []
+    return df.select(F.coalesce(F.col(key).cast("long"), F.xxhash64(whole)).alias("k"), whole.alias("_text"), *more)
 
 
 def _sample(df: DataFrame, length: int) -> DataFrame:
@@ -298,14 +299,16 @@ def _parts(spark: SparkSession) -> int:
 
 
 def _packed(df: DataFrame) -> DataFrame:
-    """(k, z): the texts, compressed, as they are shuffled."""
+    """(k, z) and what is carried: the texts, compressed, as they are shuffled."""
+    names = ["k", "z", *df.columns[2:]]
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in df.schema[2:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(t) for t in raw(batch.column(1))], pa.binary())], names=["k", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(t) for t in raw(batch.column(1))], pa.binary()), *batch.columns[2:]], names=names)
 
-    return df.mapInArrow(run, "k long, z binary")
+    return df.mapInArrow(run, f"k long, z binary{more}")
 
 
 def _unpacked(z: bytes) -> bytes:
@@ -318,9 +321,16 @@ def _cut(texts: DataFrame, flags: DataFrame, length: int) -> DataFrame:
     both = texts.join(wanted.hint("shuffle_hash"), "k").select("k", "z", "flags.at", "flags.end")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, k, at, before, after = columns = [], [], [], [], []
+
+        def filled():
+            out = pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["g", "k", "at", "before", "after"])
+            for x in columns:
+                x.clear()
+            return out
+
         for batch in batches:
             for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                g, k, at, before, after = [], [], [], [], []
                 for key, z, places, ends in zip(*[c.to_pylist() for c in part.columns], strict=True):
                     text = _unpacked(z)
                     known = []
@@ -331,7 +341,8 @@ def _cut(texts: DataFrame, flags: DataFrame, length: int) -> DataFrame:
                         p, start, end = _place(p, length)
                         if e < 0:
                             known.append((start, end))
-                        g.append(_signed(xxhash.xxh3_64_intdigest(text[p : p + GRAM])))
+                        anchor = _signed(xxhash.xxh3_64_intdigest(text[p : p + GRAM]))
+                        g.append(anchor)
                         k.append(key)
                         at.append(p)
                         before.append(text[start:p])
@@ -342,7 +353,9 @@ def _cut(texts: DataFrame, flags: DataFrame, length: int) -> DataFrame:
                         at.append(start)
                         before.append(None)
                         after.append(None)
-                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(k, pa.int64()), pa.array(at, pa.int64()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=["g", "k", "at", "before", "after"])
+                    if len(g) > 5_000:
+                        yield filled()
+        yield filled()
 
     return both.mapInArrow(run, "g long, k long, at long, before binary, after binary")
 
@@ -411,29 +424,33 @@ def _covered(cut: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "k long, start long, end long")
 
 
-def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """The compressed texts (k, z) and, for each k with any, the repeated stretches ``spans``: arrays of (start, end), in bytes, not merged."""
+def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The compressed texts (k, z, and ``carried`` if asked for) and, for each k with any, the repeated stretches ``spans``: arrays of (start, end), in bytes, not merged."""
+    texts = _packed(_keyed(df, text, key, carry))
     keyed = _keyed(df, text, key)
-    texts = _packed(keyed)
     flags = _judged(_sample(keyed, length))
-    covered = _covered(_cut(texts, flags, length), length)
+    covered = _covered(_cut(_packed(keyed), flags, length), length)
     return texts, covered.groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def removed(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, as_text: bool = False) -> DataFrame:
+def removed(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, as_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Every row's key ``k`` with ``n_bytes``, ``n_removed``, ``starts`` and ``ends`` (of the merged runs) and ``kept``, the bytes that stay.
 
-    ``as_text`` returns ``kept`` as a string, without what a run has left of a character.
+    ``as_text`` returns ``kept`` as a string, without what a run has left of a
+    character.  ``carry`` names columns that go along, in the struct ``carried``,
+    which saves another shuffle of the texts.
     """
     kind = pa.string() if as_text else pa.binary()
-    texts, spans = repeated_spans(df, text, key, length)
-    both = texts.join(spans.hint("shuffle_hash"), "k", "left").select("k", "z", "spans.start", "spans.end")
+    texts, spans = repeated_spans(df, text, key, length, carry)
+    more = ["carried"] if carry else []
+    both = texts.join(spans.hint("shuffle_hash"), "k", "left").select("k", "z", "spans.start", "spans.end", *more)
+    kinds = "".join(f", {n} {texts.schema[n].dataType.simpleString()}" for n in more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
                 k, size, gone, starts, ends, kept = [], [], [], [], [], []
-                for key_, z, s, e in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                for key_, z, s, e in zip(*[c.to_pylist() for c in part.columns[:4]], strict=True):
                     whole = _unpacked(z)
                     runs = merged(list(zip(s or [], e or [], strict=True)))
                     at, stay = 0, []
@@ -448,7 +465,7 @@ def removed(df: DataFrame, text: str = "text", key: str = "doc_id", length: int
                     ends.append([b for _, b in runs])
                     stay = b"".join(stay)
                     kept.append(stay.decode(errors="ignore") if as_text else stay)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(kept, kind)], names=["k", "n_bytes", "n_removed", "starts", "ends", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(kept, kind), *part.columns[4:]], names=["k", "n_bytes", "n_removed", "starts", "ends", "kept", *more])
 
-    return both.mapInArrow(run, "k long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept " + ("string" if as_text else "binary"))
+    return both.mapInArrow(run, "k long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept " + ("string" if as_text else "binary") + kinds)
 
