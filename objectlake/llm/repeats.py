@@ -20,7 +20,10 @@ and every anchor stands for the windows around it.
 Sums, sorts and joins are keyed by anchor or document.  Equal surroundings are
 merged within a batch before the shuffle, so copies of a passage cost one row
 for each batch.  One task sorts the different surroundings of one anchor, 368
-bytes at most for each.
+bytes at most for each.  Anchors that seem to have more than ``GROUP`` of them,
+judged by a sample of documents, are not sorted: their windows are counted one
+by one, by a digest of 128 bits, which finds the same bytes and spreads over
+tasks.  The sample decides the way, not the result.
 
 Null text is empty.  Rows with equal ids must be the same row; it counts as
 often as it is there.  Rows without an id are told apart by their text.
@@ -37,11 +40,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objectlake.llm.common import raw
+from objectlake.llm.common import raw, written
 
 LENGTH = 200
 GRAM = 32
 
+#: Different surroundings of one anchor that are sorted in one task, about.
+GROUP = 200_000
+
+#: One document of so many is looked at to find anchors beyond ``GROUP``; of those, the most frequent ``HOT`` are counted.
+SAMPLED, HOT = 64, 10_000
+
 #: Window starts for which anchors are sought at once; a place in such a stretch fits into the low bits of a key.
 STRETCH = 1 << 18
 _PLACE = np.uint64((1 << 20) - 1)
@@ -315,8 +324,18 @@ def _unpacked(z: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z)
 
 
-def _cut(texts: DataFrame, flags: DataFrame, length: int) -> DataFrame:
-    """Surroundings to sort (g: anchor, k, at, before, after) and known stretches (before null; at: start, g: end)."""
+def hot_anchors(keyed: DataFrame, length: int) -> frozenset[int]:
+    """Anchors with very many different surroundings, by an estimate from a sample; at most ``HOT``."""
+    some = _sample(keyed.where(F.pmod(F.xxhash64("k"), F.lit(SAMPLED)) == 0), length).where("at >= 0")
+    found = some.groupBy("a", "c").agg(F.lit(1)).groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > GROUP / SAMPLED)
+    return frozenset(r.a for r in found.orderBy(F.desc("n"), "a").limit(HOT).collect())
+
+
+def _cut(texts: DataFrame, flags: DataFrame, length: int, hot: frozenset[int]) -> DataFrame:
+    """Surroundings to sort (g: anchor, k, at, before, after) and known stretches (before null; at: start, g: end).
+
+    Of hot anchors, each window instead: ``after`` is null, ``before`` the digest, ``at`` the start.
+    """
     wanted = flags.groupBy("k").agg(F.collect_list(F.struct("at", "end")).alias("flags"))
     both = texts.join(wanted.hint("shuffle_hash"), "k").select("k", "z", "flags.at", "flags.end")
 
@@ -342,6 +361,14 @@ def _cut(texts: DataFrame, flags: DataFrame, length: int) -> DataFrame:
                         if e < 0:
                             known.append((start, end))
                         anchor = _signed(xxhash.xxh3_64_intdigest(text[p : p + GRAM]))
+                        if anchor in hot:
+                            for w in range(start, end - length + 1):
+                                g.append(anchor)
+                                k.append(key)
+                                at.append(w)
+                                before.append(xxhash.xxh3_128_digest(text[w : w + length]))
+                                after.append(None)
+                            continue
                         g.append(anchor)
                         k.append(key)
                         at.append(p)
@@ -429,7 +456,16 @@ def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     texts = _packed(_keyed(df, text, key, carry))
     keyed = _keyed(df, text, key)
     flags = _judged(_sample(keyed, length))
-    covered = _covered(_cut(_packed(keyed), flags, length), length)
+    hot = hot_anchors(keyed, length)
+    cut = _cut(_packed(keyed), flags, length, hot)
+    if hot:
+        cut = written(cut)
+        windows = cut.where("before is not null and after is null").select("before", "k", "at")
+        again = windows.groupBy("before").agg(F.count("*").alias("_n")).where("_n > 1").select("before")
+        counted = windows.join(again, "before").select("k", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+        covered = _covered(cut.where("before is null or after is not null"), length).unionByName(counted)
+    else:
+        covered = _covered(cut, length)
     return texts, covered.groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
