@@ -18,6 +18,9 @@ from objectlake.llm.common import scratch, ship, table, written
 #: A document goes if its language can't be told, or only with less than this score.
 LANGUAGE_SCORE = 0.3
 
+#: Documents are near copies if their sets of five-word shingles are this similar, in percent.
+SIMILAR = 80
+
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -33,7 +36,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies; rows that repeat one id, or have none, stay."""
     ship(spark)
-    gone = minhash.near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
+    gone = minhash.near_duplicates(docs.select("doc_id", "text"), num=SIMILAR).where("not kept").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
 
 

@@ -16,7 +16,9 @@ in no group.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +31,11 @@ from objectlake.llm.components import components
 
 WORDS = 5
 
-#: Bands of rows of the signature.  A pair at a similarity of 0.85 shares none with a chance of 5e-5.
-BANDS, ROWS = 21, 6
-HASHES = BANDS * ROWS
+#: A pair right at the similarity asked for shares no band with this chance, at most.
+MISS = 5e-5
 
-#: A pair is dropped by its signatures if they agree this much less than asked for: four standard deviations at 0.85.
-SLACK = 0.13
+#: Minima in a signature, at most, where the similarity asked for is not very low.
+HASHES = 126
 
 #: Documents and shingles in a block of a cluster, at most on average.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
@@ -42,13 +43,33 @@ BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
 #: Words whose hashes a worker remembers.
 CACHE_WORDS = 500_000
 
-_rng = np.random.default_rng(20240229)
-MULTIPLY = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
-ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
+def bands_rows(num: int, den: int) -> tuple[int, int]:
+    """Bands and rows of the signature: the most rows whose bands miss no more than ``MISS`` with up to ``HASHES`` minima; 21 and 6 at 0.85."""
+    best = 1, HASHES
+    for rows in range(1, HASHES + 1):
+        alike = (num / den) ** rows
+        bands = max(1, math.ceil(math.log(MISS) / math.log1p(-alike))) if alike < 1 else 1
+        if rows == 1 or bands * rows <= HASHES:
+            best = bands, rows
+    return best
+
+
+def slack(num: int, den: int, hashes: int) -> float:
+    """A pair is dropped by its signatures if they agree this much less than asked for: four standard deviations, rounded up; 0.13 at 0.85."""
+    return math.ceil(400 * math.sqrt(num * (den - num) / hashes) / den) / 100
+
+
+@lru_cache(maxsize=4)
+def universal(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``n`` hash functions multiply by and add."""
+    rng = np.random.default_rng(20240229)
+    return rng.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+
+
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         found = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -74,15 +95,16 @@ def shingles(text: bytes, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
     return np.unique(mixed(h + np.uint64(min(words, len(w)))))
 
 
-def signature(h: np.ndarray) -> np.ndarray:
+def signature(h: np.ndarray, hashes: int = HASHES) -> np.ndarray:
     """The minima of universal hashes (multiply, add, shift), of which 16 bits are kept."""
-    out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    multiply, add = universal(hashes)
+    out = np.full(hashes, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(h), 512):
-        out = np.minimum(out, ((h[i : i + 512] * MULTIPLY[:, None] + ADD[:, None]) >> np.uint64(32)).astype(np.uint32).min(axis=1))
+        out = np.minimum(out, ((h[i : i + 512] * multiply[:, None] + add[:, None]) >> np.uint64(32)).astype(np.uint32).min(axis=1))
     return out.astype(np.uint16)
 
 
-def signed(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def signed(df: DataFrame, text: str = "text", key: str = "doc_id", minima: int = HASHES) -> DataFrame:
     """The key, ``n_shingles``, a 128-bit digest of the set (``hi``, ``lo``) and the signature of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,26 +119,26 @@ def signed(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
                 n.append(len(h))
                 hi.append(int.from_bytes(d[:8], "little", signed=True))
                 lo.append(int.from_bytes(d[8:], "little", signed=True))
-                sig.append(signature(h).tobytes() if len(h) else None)
+                sig.append(signature(h, minima).tobytes() if len(h) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.binary())], names=["id", "n_shingles", "hi", "lo", "sig"])
 
     return df.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(run, "id long, n_shingles long, hi long, lo long, sig binary")
 
 
-def banded(reps: DataFrame) -> DataFrame:
+def banded(reps: DataFrame, bands: int, rows: int) -> DataFrame:
     """A row (id, band) for each band of a signature; the number of the band is part of its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
+        salt = mixed(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(ids), BANDS, ROWS)
-            h = np.broadcast_to(salt, (len(ids), BANDS)).copy()
-            for i in range(ROWS):
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(ids), bands, rows)
+            h = np.broadcast_to(salt, (len(ids), bands)).copy()
+            for i in range(rows):
                 h = mixed(h * _BASE + sig[:, :, i])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, BANDS)), pa.array(h.ravel().view(np.int64))], names=["id", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, bands)), pa.array(h.ravel().view(np.int64))], names=["id", "band"])
 
     return reps.select("id", "sig").mapInArrow(run, "id long, band long")
 
@@ -155,9 +177,10 @@ def links(ids: list[int], sides: np.ndarray, sets: list[np.ndarray], across: boo
     early; pairs that are joined already are not compared.
     """
     n = len(ids)
-    sigs = np.stack([signature(s) for s in sets])
+    minima = math.prod(bands_rows(num, den))
+    sigs = np.stack([signature(s, minima) for s in sets])
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    least = (num / den - SLACK) * HASHES
+    least = (num / den - slack(num, den, minima)) * minima
     forest = Forest(n)
 
     def near(i: int) -> np.ndarray:
@@ -226,10 +249,11 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", num:
     Two documents link if den * intersection >= num * union of their sets.
     """
     spark = df.sparkSession
-    every = written(signed(df, text, key))
+    n_bands, n_rows = bands_rows(num, den)
+    every = written(signed(df, text, key, n_bands * n_rows))
     some = every.where("id is not null and n_shingles > 0")
     classes = some.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    bands = banded(classes)
+    bands = banded(classes, n_bands, n_rows)
     tops = bands.groupBy("band").agg(F.min("id").alias("top"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     ties = bands.join(tops, "band").where("id != top").select("id", "top")
     clusters = components(ties, "id", "top")

@@ -99,3 +99,27 @@ def test_signatures_estimate_similarity():
     true = len(set(x) & set(y)) / len(set(x) | set(y))
     assert abs((minhash.signature(x) == minhash.signature(y)).mean() - true) < 0.13
     assert Counter(len(minhash.shingles(t, hashes)) for t in (b"", b"one", b"a b c d e", b"a b c d e f")) == {0: 1, 1: 2, 2: 1}
+
+
+def test_bands_follow_the_similarity():
+    assert minhash.bands_rows(85, 100) == (21, 6) and minhash.slack(85, 100, 126) == 0.13
+    for num in (5, 20, 50, 70, 80, 85, 90, 95, 99, 100):
+        bands, rows = minhash.bands_rows(num, 100)
+        assert (1 - (num / 100) ** rows) ** bands <= minhash.MISS
+        assert bands * rows <= minhash.HASHES or rows == 1
+        p, n = num / 100, bands * rows
+        assert minhash.slack(num, 100, n) >= 4 * (p * (1 - p) / n) ** 0.5
+
+
+def test_low_similarity(spark):
+    """Most pairs near 0.5 share none of 21 bands of 6."""
+    rng = random.Random(6)
+    docs = {}
+    for i in range(60):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(204)]
+        docs[2 * i] = " ".join(base)
+        docs[2 * i + 1] = " ".join(base[: rng.randint(128, 150)] + [f"v{rng.randint(0, 10**6)}" for _ in range(60)])
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    want = brute(docs, 50)
+    assert sum(k != c for k, (_, c) in want.items()) > 10
+    assert found(minhash.near_duplicates(df, num=50)) == want

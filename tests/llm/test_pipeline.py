@@ -1,3 +1,4 @@
+import random
 import re
 
 import corpus_pipeline as cp
@@ -38,6 +39,20 @@ def test_stages_and_run(spark, sf, tmp_path):
     assert final == {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in pieces}
 
 
+def test_near_dedup_at_80(spark):
+    rng = random.Random(8)
+    docs = {}
+    for i in range(40):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(204)]
+        docs[2 * i] = " ".join(base)
+        docs[2 * i + 1] = " ".join(base[: 204 - rng.randint(15, 28)] + [f"v{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 12))])
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in docs.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    groups, other = near(docs, 80), near(docs)
+    want = {k: t for k, t in docs.items() if groups[k][1] == k}
+    assert len(want) < sum(other[k][1] == k for k in docs)
+    assert pairs(cp.near_dedup(spark, df, "")) == want
+
+
 def test_odd_rows(spark, odd, tmp_path):
     at = odd
     for i, (_, stage) in enumerate(cp.STAGES):
