@@ -34,10 +34,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies; rows that repeat one id, or have none, stay."""
+    """Keeps one row of each group of near copies: one with the smallest id, or any where none has an id.  Rows without words are in no group and stay."""
     ship(spark)
-    gone = minhash.near_duplicates(docs.select("doc_id", "text"), num=SIMILAR).where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    rows = written(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))  # rows that repeat one id, or have none, are told apart
+    near = minhash.near_duplicates(rows, key="_row", num=SIMILAR).select(F.col("doc_id").alias("_row"), "component_id")
+    near = written(near.join(rows.select("_row", "doc_id"), "_row"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")
+    stay = near.groupBy("component_id").agg(first).select("first._row")
+    gone = near.select("_row").join(stay, "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import corpus_pipeline as cp
 from test_minhash import brute as near
@@ -53,6 +54,18 @@ def test_near_dedup_at_80(spark):
     assert pairs(cp.near_dedup(spark, df, "")) == want
 
 
+def test_repeated_and_null_ids(spark):
+    """Of identical rows, and of copies without an id, one stays with its text."""
+    rng = random.Random(12)
+    a, b, c, d = (" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(80)) for _ in range(4))
+    rows = [(5, a), (5, a), (5, a), (7, b), (None, b), (None, c), (None, c), (9, d), (3, d), (None, d), (3, d), (None, "a b"), (4, "x y z")]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = Counter([(5, a), (7, b), (None, c), (3, d), (None, "a b"), (4, "x y z")])
+    once = cp.near_dedup(spark, df, "")
+    assert Counter((r.doc_id, r.text) for r in once.collect()) == want
+    assert Counter((r.doc_id, r.text) for r in cp.repeat_removal(spark, once, "").collect()) == want
+
+
 def test_odd_rows(spark, odd, tmp_path):
     at = odd
     for i, (_, stage) in enumerate(cp.STAGES):
