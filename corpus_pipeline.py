@@ -55,10 +55,8 @@ def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def secret_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces what the scan reports by a mark."""
     ship(spark)
-    found = secrets.scan(docs.select("doc_id", "text")).where(F.size("spans") > 0).select("doc_id", "spans").dropDuplicates(["doc_id"])
-    both = docs.select(*COLUMNS).join(found, "doc_id", "left")
-    text = F.when(F.col("spans").isNotNull(), secrets.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    return both.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    found = secrets.scan(docs, carry=COLUMNS[1:])
+    return found.withColumn("text", secrets.redacted(F.col("text"), F.col("spans"))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

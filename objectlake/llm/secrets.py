@@ -105,25 +105,26 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     return near.where(~strong & need).select("row", "start", "rank", "end")
 
 
-def scan(df: DataFrame, text: str = "text", key: str = "doc_id", scope: int = SCOPE) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", key: str = "doc_id", scope: int = SCOPE, carry: tuple[str, ...] = ()) -> DataFrame:
     """Returns the key, ``base`` and ``spans``: sorted arrays of (start, rank, end); ``rank`` counts in ``KINDS``.
 
     Documents are searched once; what is found, mostly nothing, is written out.
-    Weak patterns are tried only where a base span was found.
+    Weak patterns are tried only where a base span was found.  ``carry`` names
+    columns that go along with their row.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    found = df.select(F.col(key), whole.alias("_text")).withColumn("base", F.array_sort(base_spans(F.col("_text"))))
+    found = df.select(F.col(key), whole.alias("_text"), *carry).withColumn("base", F.array_sort(base_spans(F.col("_text"))))
     weak = F.when(F.size("base") > 0, weak_spans(F.col("_text"))).otherwise(F.array().cast(f"array<{SPAN}>"))
     row = F.when(F.size("weak") > 0, F.xxhash64(F.col(key), F.col("_text")))
-    found = written(found.withColumn("weak", weak).select(F.col(key), "base", "weak", row.alias("row")))
+    found = written(found.withColumn("weak", weak).select(F.col(key), "base", "weak", row.alias("row"), *carry))
     none = F.col("row").isNull()
-    plain = found.where(none).select(key, "base", F.col("base").alias("spans"))
+    plain = found.where(none).select(key, "base", F.col("base").alias("spans"), *carry)
     some = found.where(~none)
     once = some.select("row", "base", "weak").dropDuplicates(["row"])
     parts = once.select("row", F.inline(F.concat("base", "weak")))
     added = linked(parts, scope).groupBy("row").agg(F.collect_list(F.struct("start", "rank", "end")).alias("_added"))
     joined = some.join(added, "row", "left")
-    more = joined.select(key, "base", F.array_sort(F.concat("base", F.coalesce("_added", F.array().cast(f"array<{SPAN}>")))).alias("spans"))
+    more = joined.select(key, "base", F.array_sort(F.concat("base", F.coalesce("_added", F.array().cast(f"array<{SPAN}>")))).alias("spans"), *carry)
     return plain.unionByName(more)
 
 
