@@ -1,9 +1,10 @@
 r"""Secrets in texts, with columns only: base patterns, and linking of multipart credentials.
 
 Base spans are matches of fixed patterns.  Further, weaker parts (account
-names, endpoints, bare 40-character tokens) are reported only where parts that
-complete them lie near: a running maximum over the parts of a document, sorted
-by place, joins each weak part to the nearest strong ones without pairing them.
+names, endpoints, bare 40-character tokens, short values of keywords) are
+reported only where parts that complete them, strong or weak, lie near: running
+maxima over the parts of a document, sorted by place, join each weak part to
+the nearest ones without pairing them.
 
 Null text counts as empty; offsets are code points, ends exclusive; repeated
 rows each get the same spans; an empty table gives an empty result.
@@ -23,11 +24,12 @@ BASE = (
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
 
-#: Weak parts, listed after the base kinds.
+#: (kind, pattern, group that is measured, characters it has at most): weak parts, listed after the base kinds.
 WEAK = (
-    ("client", r"""(?i:client_?id|account_?id|access_?key_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]{3,}"""),
-    ("endpoint", r"""\b[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D"'<>]+"""),
-    ("opaque", r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"),
+    ("client", r"""(?i:client_?id|account_?id|access_?key_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]{3,}""", 0, None),
+    ("endpoint", r"""\b[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D"'<>]+""", 0, None),
+    ("opaque", r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", 0, None),
+    ("short", BASE[0][1], 2, BASE[0][3] - 1),
 )
 
 KINDS = tuple(k for k, *_ in BASE + WEAK)
@@ -56,8 +58,8 @@ def _sums(lengths: Column) -> Column:
     return F.flatten(F.transform(F.arrays_zip(runs.alias("r"), before.alias("b")), lambda z: F.transform(running(z["r"]), lambda x: x + z["b"] - total(z["r"]))))
 
 
-def matches(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0) -> Column:
-    """An array of (start, rank, end) of the leftmost non-overlapping matches whose ``group`` has ``least`` characters.
+def matches(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0, most: int | None = None) -> Column:
+    """An array of (start, rank, end) of the leftmost non-overlapping matches whose ``group`` has ``least`` characters, and no more than ``most``.
 
     The gaps between matches and the matches' lengths add up to the places.
     """
@@ -67,7 +69,7 @@ def matches(text: Column, pattern: str, rank: int, group: int = 0, least: int =
     lengths = F.transform(found, lambda x: F.length(x).cast("long"))
     steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(lengths)), lengths, lambda g, n: g + n)
     spans = F.transform(F.arrays_zip(_sums(steps).alias("e"), lengths.alias("n"), sized.alias("g")), lambda z: F.struct((z["e"] - z["n"]).alias("start"), F.lit(rank).alias("rank"), z["e"].alias("end"), F.length(z["g"]).alias("size")))
-    kept = F.transform(F.filter(spans, lambda s: s["size"] >= least), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
+    kept = F.transform(F.filter(spans, lambda s: s["size"].between(least, (1 << 31) - 1 if most is None else most)), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
     return F.when(text.rlike(pattern), kept).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
@@ -76,7 +78,7 @@ def base_spans(text: Column) -> Column:
 
 
 def weak_spans(text: Column) -> Column:
-    return F.concat(*[matches(text, p, i + len(BASE)) for i, (_, p) in enumerate(WEAK)])
+    return F.concat(*[matches(text, p, i + len(BASE), g, 0, n) for i, (_, p, g, n) in enumerate(WEAK)])
 
 
 def label(spans: Column) -> Column:
@@ -85,36 +87,62 @@ def label(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"], s["end"])), ",")
 
 
+def may_link(text: Column, base: Column) -> Column:
+    """Whether a text has an access id and a secret, strong or weak; without both, no weak part is completed."""
+
+    def strong(*ranks: int) -> Column:
+        return F.exists(base, lambda s: s["rank"].isin(*ranks))
+
+    client, opaque = WEAK[0][1], WEAK[2][1]
+    return (strong(1) | text.rlike(client)) & (strong(0, 2) | text.rlike(BASE[0][1]) | text.rlike(opaque))
+
+
 def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The weak parts that are completed: rows (row, start, rank, end).
 
     ``parts`` has all parts of documents, told apart by ``row``.  A client id
-    needs a strong secret near it, a bare token a strong access id, an endpoint
-    both.  A part is near if the gap between the two is at most ``scope``.
+    needs a secret near it, a bare token or a short value an access id, an
+    endpoint both.  A part is near if the gap between the two is at most
+    ``scope``.  Strong parts complete weak ones that they overlap, and any part
+    an endpoint; a weak access id and a weak secret that overlap are one part
+    and do not complete each other.
     """
-    strong = F.col("rank") < len(BASE)
-    # strong parts come at their start; a weak one comes after all that start within its scope
-    at = F.when(strong, F.col("start")).otherwise(F.col("end") + scope)
-    so_far = Window.partitionBy("row").orderBy("at", "weak").rowsBetween(Window.unboundedPreceding, 0)
-    access, secret = F.col("rank") == 1, F.col("rank").isin(0, 2)
-    near = parts.withColumn("at", at).withColumn("weak", (~strong).cast("int"))
-    near = near.withColumn("_access", F.max(F.when(access, F.col("end"))).over(so_far)).withColumn("_secret", F.max(F.when(secret, F.col("end"))).over(so_far))
-    reach = F.col("start") - scope
-    has_access, has_secret = F.coalesce(F.col("_access") >= reach, F.lit(False)), F.coalesce(F.col("_secret") >= reach, F.lit(False))
-    need = F.when(F.col("rank") == 3, has_secret).when(F.col("rank") == 4, has_access & has_secret).otherwise(has_access)
-    return near.where(~strong & need).select("row", "start", "rank", "end")
+    rank, start, end = F.col("rank"), F.col("start"), F.col("end")
+    strong, endpoint = rank < len(BASE), rank == 4
+    is_access, is_secret = rank.isin(1, 3), rank.isin(0, 2, 5, 6)
+
+    def event(side: int, at: Column, reach: Column, ask: bool) -> Column:
+        return F.struct(F.lit(side).alias("side"), at.alias("at"), F.lit(int(ask)).alias("ask"), reach.alias("reach"))
+
+    # side 0: strong parts, 1: weak ones about endpoints; these may overlap, so a part comes at its start and is asked for at the end of the scope.
+    # side 2: weak parts that end before a weak one, 3: those that start after it, mirrored.
+    gives = F.when(strong, F.array(event(0, start, end, False))).when(~endpoint, F.array(event(1, start, end, False), event(2, end, end, False), event(3, -start, -start, False)))
+    asks = F.when(endpoint, F.array(event(0, end + scope, start - scope, True), event(1, end + scope, start - scope, True))).when(
+        ~strong, F.array(event(0, end + scope, start - scope, True), event(2, start, start - scope, True), event(3, -end, -end - scope, True))
+    )
+    none = F.array().cast("array<struct<side:int,at:long,ask:int,reach:long>>")
+    events = parts.select("row", "start", "rank", "end", F.inline(F.concat(F.coalesce(gives, none), F.coalesce(asks, none))))
+    so_far = Window.partitionBy("row", "side").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, 0)
+
+    def has(kind: Column) -> Column:
+        return F.coalesce(F.max(F.when((F.col("ask") == 0) & kind, F.col("reach"))).over(so_far) >= F.col("reach"), F.lit(False))
+
+    near = events.withColumn("_access", has(is_access)).withColumn("_secret", has(is_secret)).where("ask = 1")
+    near = near.groupBy("row", "start", "rank", "end").agg(F.max("_access").alias("_access"), F.max("_secret").alias("_secret"))
+    need = F.when(rank == 3, F.col("_secret")).when(endpoint, F.col("_access") & F.col("_secret")).otherwise(F.col("_access"))
+    return near.where(need).select("row", "start", "rank", "end")
 
 
 def scan(df: DataFrame, text: str = "text", key: str = "doc_id", scope: int = SCOPE, carry: tuple[str, ...] = ()) -> DataFrame:
     """Returns the key, ``base`` and ``spans``: sorted arrays of (start, rank, end); ``rank`` counts in ``KINDS``.
 
     Documents are searched once; what is found, mostly nothing, is written out.
-    Weak patterns are tried only where a base span was found.  ``carry`` names
+    Weak parts are sought only where some could complete each other.  ``carry`` names
     columns that go along with their row.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     found = df.select(F.col(key), whole.alias("_text"), *carry).withColumn("base", F.array_sort(base_spans(F.col("_text"))))
-    weak = F.when(F.size("base") > 0, weak_spans(F.col("_text"))).otherwise(F.array().cast(f"array<{SPAN}>"))
+    weak = F.when(may_link(F.col("_text"), F.col("base")), weak_spans(F.col("_text"))).otherwise(F.array().cast(f"array<{SPAN}>"))
     row = F.when(F.size("weak") > 0, F.xxhash64(F.col(key), F.col("_text")))
     found = written(found.withColumn("weak", weak).select(F.col(key), "base", "weak", row.alias("row"), *carry))
     none = F.col("row").isNull()
