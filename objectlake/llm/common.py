@@ -81,6 +81,45 @@ def _remove_late(spark: SparkSession, path: str) -> None:
         remove(spark, path)
 
 
+def partitions(spark: SparkSession, size: int = 0, each: int = 32 << 20) -> int:
+    """Partitions of a shuffle: what the session sets, no fewer than there are cores, and more where ``size`` bytes would exceed ``each``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-size // each))
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Shuffles ``df`` by ``key`` and writes it as a bucketed table in the scratch folder: joins on ``key`` then read it as it is."""
+    spark = df.sparkSession
+    path, name, parts = scratch(spark), f"objectlake_{uuid.uuid4().hex}", min(partitions(spark), 100_000)
+    df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).option("compression", "uncompressed").format("parquet").saveAsTable(name)
+    atexit.register(_drop_late, spark, path, name)
+    return spark.table(name)
+
+
+def _drop_late(spark: SparkSession, path: str, name: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
+
+
+#: A key with more than one row in so many is joined apart, so there are fewer such keys than this.
+SHARE = 1000
+
+
+def join_counted(rows: DataFrame, one: DataFrame, key: str, total: int, how: str = "inner", spread: str | None = None) -> DataFrame:
+    """Joins ``rows`` with ``one``, which has a row for each ``key`` and, as ``_n``, how many of the ``total`` rows have that key.
+
+    Keys that have more than a share of the rows, of which there are fewer than
+    ``SHARE``, are dealt to several tasks each, by ``spread`` (a column of ``rows``).
+    """
+    most = max(1, total // SHARE)
+    hot = one.where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_deals"))
+    deal = F.pmod(F.xxhash64(F.lit(5), F.col(spread or rows.columns[0])), F.col("_deals")).cast("int")
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_deal", F.coalesce(deal, F.lit(0))).drop("_deals")
+    copies = F.greatest(F.lit(1), F.when(F.col("_n") > most, F.ceil(F.col("_n") / most))).cast("int")
+    each = one.withColumn("_deal", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_n")
+    return dealt.join(each, [key, "_deal"], how).drop("_deal")
+
+
 def texts(column: pa.Array) -> list[str]:
     """The strings of a column; null is the empty string."""
     return [x or "" for x in column.to_pylist()]

@@ -52,7 +52,7 @@ def near_duplicates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.removed(table(spark, sf_dir, "documents"))
-    return out.select(F.col("k").alias("doc_id"), "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("carried.doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def held_out() -> Column:

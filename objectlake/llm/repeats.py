@@ -6,50 +6,55 @@ windows have equal anchors at equal places, so every repeated string of that
 length is found among the suffixes that start at anchors with the same bytes,
 and every anchor stands for the windows around it.
 
-1. Anchors are dealt by their hash.  Those that occur once can repeat nothing.
-   Where the whole surroundings of an anchor (all windows that hold it) occur
-   again, the surroundings are repeated, and one of them stays as a witness.
-2. The surroundings of the other anchors (of their own windows alone) are cut from the texts and sorted by
-   what follows the anchor: a suffix array, with the lengths of common prefixes
-   of neighbours.  A scan with a stack visits the tree of common-prefix
-   intervals.  Within an interval the occurrences are sorted by what precedes
-   the anchor; those that share enough of it, and are extended to the left by
-   different bytes or an end, form a maximal repeat group with all its members.
-3. A document's repeated stretches are merged and returned, or removed.
-
-Sums, sorts and joins are keyed by anchor or document.  Equal surroundings are
-merged within a batch before the shuffle, so copies of a passage cost one row
-for each batch.  One task sorts the different surroundings of one anchor, 368
-bytes at most for each.  Anchors that seem to have more than ``GROUP`` of them,
-judged by a sample of documents, are not sorted: their windows are counted one
-by one, by a digest of 128 bits, which finds the same bytes and spreads over
-tasks.  The sample decides the way, not the result.
-
-Null text is empty.  Rows with equal ids must be the same row; it counts as
-often as it is there.  Rows without an id are told apart by their text.
+1. Rows are numbered, and their texts compressed, shuffled by that number and
+   written, once; all that follows is joined to that copy.
+2. Anchors are dealt by their hash; those that occur once can repeat nothing.
+   Occurrences with the same surroundings (all windows that hold the anchor)
+   are one suffix with a multiplicity, for which one of them stands.
+3. The different suffixes of an anchor are sorted: a suffix array, with the
+   lengths of common prefixes of neighbours.  A scan with a stack visits the
+   tree of common-prefix intervals.  Within an interval the suffixes are put in
+   the order of what precedes the anchor, and the tree of that order has the
+   groups; one whose members are extended to the left by different bytes, or an
+   end, is a maximal repeat group with all its members.
+4. What the groups cover goes to all occurrences of their members.  A
+   document's repeated stretches are merged and returned, or removed.
+
+Occurrences that are alike are merged within an Arrow batch before the shuffle
+by anchor, and one suffix answers for ``SEGMENT`` of them at most after it, so
+a passage in a third of all documents meets in no task.  Anchors with more than
+``GROUP`` different suffixes are divided over tasks by the same tree: an
+interval that is too large is a group whose common bytes on both sides come
+from its least and greatest members, and the next byte on either side deals its
+members to the intervals below, until they are small enough to be sorted.
+
+Null text is empty.  Rows are told apart by their number alone: ids may be of
+any type, repeated or null, and the same row counts as often as it is there.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objectlake.llm.common import raw, written
+from objectlake.llm.common import bucketed, partitions, raw, written
 
 LENGTH = 200
 GRAM = 32
 
-#: Different surroundings of one anchor that are sorted in one task, about.
-GROUP = 200_000
+#: Different suffixes of one anchor that are sorted in one task, at most.
+GROUP = 50_000
 
-#: One document of so many is looked at to find anchors beyond ``GROUP``; of those, the most frequent ``HOT`` are counted.
-SAMPLED, HOT = 64, 10_000
+#: Occurrences of one suffix that take what it covers from one row, at most.
+SEGMENT = 4096
 
 #: Window starts for which anchors are sought at once; a place in such a stretch fits into the low bits of a key.
 STRETCH = 1 << 18
@@ -103,295 +108,339 @@ def _signed(x: int) -> int:
 # ---- the enhanced suffix array ---------------------------------------------------------
 
 
+def common(a: bytes, b: bytes) -> int:
+    """The length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (differ.bit_length() + 7) // 8
+
+
+def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int, list[int]]]:
+    """The common-prefix intervals of sorted strings, by a scan with a stack: (first, last, length, members of none below), children first."""
+    stack: list[tuple[int, int, list[int]]] = []  # (length, first, members of none below)
+    for i in range(len(lcp) + 1):
+        after = lcp[i] if i < len(lcp) else -1
+        if after > (stack[-1][0] if stack else -1):
+            stack.append((after, i, [i]))
+            continue
+        if stack:
+            stack[-1][2].append(i)
+        while stack and stack[-1][0] > after:
+            length, first, own = stack.pop()
+            yield first, i, length, own
+            if after > (stack[-1][0] if stack else -1):
+                stack.append((after, first, []))
+
+
 class Group:
-    """Occurrences of one anchor: what follows it and, read backwards, what precedes it."""
-
-    def __init__(self, befores: list[bytes], afters: list[bytes]) -> None:
-        self.n = len(afters)
-        order = sorted(range(self.n), key=afters.__getitem__)  # the suffix array
-        self.order = np.array(order)
-        self.after, self.after_len = self._table([afters[i] for i in order])
-        self.before, self.before_len = self._table([befores[i][::-1] for i in order])
-        self.lcp = self.common(self.after, self.after_len, np.arange(self.n - 1), np.arange(1, self.n))
-        back = sorted(range(self.n), key=lambda i: befores[order[i]][::-1])
-        self.back_rank = np.empty(self.n, np.int64)
-        self.back_rank[back] = np.arange(self.n)
-
-    @staticmethod
-    def _table(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        width = max(1, max(map(len, rows)))
-        return np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), np.uint8).reshape(len(rows), width), np.array([len(r) for r in rows])
-
-    @staticmethod
-    def common(table: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The lengths of common prefixes of rows."""
-        differ = table[a] != table[b]
-        first = differ.argmax(axis=1)
-        first[~differ[np.arange(len(a)), first]] = table.shape[1]
-        return np.minimum(first, np.minimum(sizes[a], sizes[b]))
-
-    def intervals(self) -> Iterator[tuple[int, int, int]]:
-        """(first, last, length) of the intervals of the common-prefix tree, children first."""
-        stack: list[tuple[int, int]] = []  # (length, first)
-        for i, length in enumerate([*self.lcp.tolist(), -1]):
-            first = i
-            while stack and stack[-1][0] > length:
-                top, first = stack.pop()
-                yield first, i, top
-            if length >= 0 and (not stack or stack[-1][0] < length):
-                stack.append((length, first))
-
-    def maximal(self, least: int) -> Iterator[tuple[int, int, np.ndarray]]:
-        """Maximal repeat groups: (bytes before the anchor, bytes after it, all the occurrences).
-
-        Each interval's occurrences are put in the order of what precedes them,
-        where those that share much are neighbours.  Runs that share enough for
-        ``least`` bytes in all are the groups; the shared part is the longest,
-        so bytes to the left of it differ or one of them has none.
+    """The suffixes of one anchor: what follows it and, read backwards, what precedes it, and how often each occurs."""
+
+    def __init__(self, backs: list[bytes], afters: list[bytes], times: list[int]) -> None:
+        order = sorted(range(len(afters)), key=afters.__getitem__)  # the suffix array
+        self.order = np.array(order, np.int64)
+        self.after, self.back, self.times = ([x[i] for i in order] for x in (afters, backs, times))
+        self.lcp = [common(a, b) for a, b in pairwise(self.after)]
+        by_back = sorted(range(len(order)), key=self.back.__getitem__)
+        self.rank, self.near = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        self.rank[by_back] = np.arange(len(order))
+        for a, b in pairwise(by_back):  # the most that any other suffix shares to the left
+            n = common(self.back[a], self.back[b])
+            self.near[a], self.near[b] = max(self.near[a], n), max(self.near[b], n)
+
+    def diverse(self, members: np.ndarray, before: int) -> bool:
+        """Whether the members, in the order of what precedes them, are extended to the left by different bytes or an end."""
+        left, right = (self.back[members[i]][before : before + 1] for i in (0, -1))
+        return not left or left != right
+
+    def maximal(self, least: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Maximal repeat groups of ``least`` bytes: (bytes before the anchor, bytes after it, all members, members of no group inside).
+
+        A suffix that occurs more than once is a group of its own.  Groups come
+        after those inside them.
         """
-        for first, last, after in self.intervals():
-            if last - first == 1:
-                before = int(self.common(self.before, self.before_len, np.array([first]), np.array([last]))[0])
-                if before + after >= least:
-                    yield before, after, self.order[first : last + 1]
+        for i in np.flatnonzero(np.array(self.times) > 1):
+            if len(self.back[i]) + len(self.after[i]) >= least:
+                yield len(self.back[i]), len(self.after[i]), self.order[i : i + 1], self.order[i : i + 1]
+        for first, last, after, _ in intervals(self.lcp):
+            rows = first + np.flatnonzero(self.near[first : last + 1] + after >= least)
+            if len(rows) < 2:
                 continue
-            rows = first + np.argsort(self.back_rank[first : last + 1], kind="stable")
-            shared = self.common(self.before, self.before_len, rows[:-1], rows[1:])
-            enough = shared + after >= least
-            if not enough.any():
-                continue
-            # within a run, nested groups of ever longer common parts are the same tree once more
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], enough, [False]]).astype(np.int8)))
-            for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                for a, b, before in _tree(shared[lo:hi].tolist()):
-                    yield before, after, self.order[rows[lo + a : lo + b + 1]]
-
-
-def _tree(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
-    stack: list[tuple[int, int]] = []
-    for i, length in enumerate([*lcp, -1]):
-        first = i
-        while stack and stack[-1][0] > length:
-            top, first = stack.pop()
-            yield first, i, top
-        if length >= 0 and (not stack or stack[-1][0] < length):
-            stack.append((length, first))
-
-
-def reach(group: Group, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """How far to the left and right of the anchor each occurrence is covered by maximal repeats; both 0 if by none."""
-    left, right = np.zeros(group.n, np.int64), np.zeros(group.n, np.int64)
-    own = np.zeros(group.n, np.int64)  # the most that any other occurrence shares to the left
-    if group.n > 2:
-        rows = np.argsort(group.back_rank)
-        shared = group.common(group.before, group.before_len, rows[:-1], rows[1:])
-        own[rows[:-1]] = shared
-        own[rows[1:]] = np.maximum(own[rows[1:]], shared)
-    for first, last, after in group.intervals():
-        if last - first == 1:
-            before = int(group.common(group.before, group.before_len, np.array([first]), np.array([last]))[0])
-            if before + after >= least:
-                left[first : last + 1] = np.maximum(left[first : last + 1], before)
-                right[first : last + 1] = np.maximum(right[first : last + 1], after)
-            continue
-        can = first + np.flatnonzero(own[first : last + 1] + after >= least)
-        if len(can) < 2:
-            continue
-        rows = can[np.argsort(group.back_rank[can], kind="stable")]
-        shared = group.common(group.before, group.before_len, rows[:-1], rows[1:])
-        # the deepest repeat group of an occurrence is the one with the neighbour that shares the most
-        deepest = np.maximum(np.concatenate([shared, [0]]), np.concatenate([[0], shared]))
-        ok = deepest + after >= least
-        rows, deepest = rows[ok], deepest[ok]
-        left[rows] = np.maximum(left[rows], deepest)
-        right[rows] = np.maximum(right[rows], after)
-    out_left, out_right = np.empty_like(left), np.empty_like(right)
-    out_left[group.order], out_right[group.order] = left, right
-    return out_left, out_right
+            rows = rows[np.argsort(self.rank[rows])]
+            shared = [common(self.back[a], self.back[b]) for a, b in pairwise(rows.tolist())]
+            for lo, hi, before, own in intervals(shared):
+                if before + after >= least and self.diverse(rows[lo : hi + 1], before):
+                    yield before, after, self.order[rows[lo : hi + 1]], self.order[rows[own]]
+
+    def covered(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """How far to the left and right of the anchor each suffix is covered by maximal repeats; both 0 if by none."""
+        left, right = np.zeros(len(self.order), np.int64), np.zeros(len(self.order), np.int64)
+        for before, after, _, own in self.maximal(least):
+            left[own] = np.maximum(left[own], before)
+            right[own] = np.maximum(right[own], after)
+        return left, right
 
 
 # ---- on tables --------------------------------------------------------------------------
 
 
-def _keyed(df: DataFrame, text: str, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    whole = F.coalesce(F.col(text), F.lit(""))
-    more = [F.struct(*carry).alias("carried")] if carry else []
-    return df.select(F.coalesce(F.col(key).cast("long"), F.xxhash64(whole)).alias("k"), whole.alias("_text"), *more)
+def _stored(df: DataFrame, text: str, carry: tuple[str, ...]) -> DataFrame:
+    """(k, z, carried): a number for each row, its text, compressed, and the columns that go along; by k."""
+    carried = F.struct(*carry).alias("carried")
+    rows = df.select(F.monotonically_increasing_id().alias("k"), F.coalesce(F.col(text), F.lit("")).alias("_text"), carried)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(t) for t in raw(batch.column(1))], pa.binary()), batch.column(2)], names=["k", "z", "carried"])
+
+    return bucketed(rows.mapInArrow(run, f"k long, z binary, carried {rows.schema['carried'].dataType.simpleString()}"), "k")
+
+
+def _unpacked(z: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(z)
+
+
+def _place(packed: int, length: int) -> tuple[int, int, int]:
+    """An anchor's place, and start and end of all its windows."""
+    at = packed >> 17
+    start = at - (packed >> 9 & 255)
+    return at, start, start + (packed >> 1 & 255) + length
 
 
-def _sample(df: DataFrame, length: int) -> DataFrame:
-    """Rows of anchors (a: hash, c: hash of the surroundings, k, at) and, with ``at`` = -1 - start, of stretches known to be repeated (c: end).
+def _sample(stored: DataFrame, length: int) -> DataFrame:
+    """Rows of anchors: a, the hash of its bytes, c, that of its surroundings, k, at, s.
 
-    ``at`` of an anchor holds its place, how far before it its first window
-    starts, how far its windows start apart (8 bits each), and whether the
-    surroundings occur more than once (1 bit).
+    ``at`` holds the place, how far before it its first window starts, how far
+    its windows start apart, and whether one batch has the surroundings more
+    than once.  Of such, one row leads; the others follow: they have -1 - ``at``,
+    and in ``s`` the k of their leader.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            a, c, k, at, lo, hi = [], [], [], [], [], []
-            for key, text in zip(keys.tolist(), raw(batch.column(1)), strict=True):
+            a, c, k, at = [], [], [], []
+            for key, z in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                text = _unpacked(z)
                 places, first, last = anchors(text, length)
                 for p, start, end in zip(places.tolist(), first.tolist(), (last + length).tolist(), strict=True):
                     a.append(xxhash.xxh3_64_intdigest(text[p : p + GRAM]))
                     c.append(xxhash.xxh3_64_intdigest(text[start:end], p - start))
                 k += [key] * len(places)
-                at.append(((places << 8) + (places - first) << 8) + (last - first))
-                lo.append(first)
-                hi.append(last + length)
+                at.append((((places << 8) + (places - first) << 8) + (last - first)) << 1)
             if not a:
                 continue
             a, c = np.array(a, np.uint64).view(np.int64), np.array(c, np.uint64).view(np.int64)
-            k, (at, lo, hi) = np.array(k, np.int64), (np.concatenate(x) for x in (at, lo, hi))
+            k, at = np.array(k, np.int64), np.concatenate(at)
             order = np.lexsort((c, a))
             new = np.ones(len(order), bool)
             new[1:] = (a[order][1:] != a[order][:-1]) | (c[order][1:] != c[order][:-1])
             group = np.cumsum(new) - 1
-            many = np.bincount(group)[group] > 1
-            first, rest = order[new], order[many]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([a[first], k[rest]])), pa.array(np.concatenate([c[first], hi[rest]])), pa.array(np.concatenate([k[first], k[rest]])), pa.array(np.concatenate([at[first] * 2 + many[new], -1 - lo[rest]]))],
-                names=["a", "c", "k", "at"],
-            )
+            lead, rest = order[new], order[~new]
+            rows = np.concatenate([lead, rest])
+            places = np.concatenate([at[lead] + (np.bincount(group) > 1), -1 - at[rest]])
+            of = np.concatenate([np.zeros(len(lead), np.int64), k[lead][group[~new]]])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[rows], c[rows], k[rows], places, of)], names=["a", "c", "k", "at", "s"])
 
-    return df.mapInArrow(run, "a long, c long, k long, at long")
+    return stored.select("k", "z").mapInArrow(run, "a long, c long, k long, at long, s long")
 
 
-def _judged(samples: DataFrame) -> DataFrame:
-    """Of anchors that occur again: (k, at, end), end > 0 for repeated stretches from ``at``, 0 for anchors to look at, -1 for those whose surroundings are repeated.
+def _occurrences(samples: DataFrame) -> DataFrame:
+    """Of anchors that occur again: (a, c, k, at, s, n).
 
-    Rows come sorted by anchor and surroundings; what is needed of a group is known from neighbours, so no group is held.
+    ``n`` is 1 or, for more, 2 where the row stands for all with its (a, c, s);
+    0 where another row, with k = s, does; -1 for those that follow a leader, which has k = s.
     """
-    rows = samples.repartition(_parts(samples.sparkSession), "a").sortWithinPartitions("a", "c")
+    follows = F.col("at") < 0
+    rows = samples.repartition(partitions(samples.sparkSession), F.when(follows, F.xxhash64("k", "at")).otherwise(F.col("a"))).sortWithinPartitions(follows, "a", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []  # the last rows with one anchor are looked at with the next batch
-        last = None
-
-        def judge(a, c, k, at, before):
-            """Rows of whole runs of (a, c), of which the first may go on from ``before``, a pair."""
-            known = at < 0
-            same_a = np.concatenate([[before is not None and len(a) > 0 and a[0] == before[0]], a[1:] == a[:-1]])
-            same_c = same_a & np.concatenate([[before is not None and len(a) > 0 and c[0] == before[1]], c[1:] == c[:-1]])
-            next_a, next_c = np.append(same_a[1:], False), np.append(same_c[1:], False)
-            return known, same_a | next_a, same_c | next_c | ((at & 1) == 1)
-
-        def emit(cols, before, final):
-            a, c, k, at = cols
-            known, again, covered = judge(a, c, k, at, before)
-            end = np.where(known, c, np.where(covered, -1, 0))
-            place = np.where(known, -1 - at, at >> 1)
-            keep = known | again | covered
-            if not final:  # what follows the last row is not known yet
-                keep[-1] = False
-            return pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(place[keep]), pa.array(end[keep])], names=["k", "at", "end"])
+        before, held = None, None  # the row before, with its place in its segment and what stands for it; rows whose next one isn't known
+
+        def judged(cols: list[np.ndarray], final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal before
+            a, c, k, at, s = cols
+            lead = int((at >= 0).sum())  # followers come last
+            out = [x[lead:] for x in cols]
+            if lead:
+                a, c, k, at = a[:lead], c[:lead], k[:lead], at[:lead]
+                same_a, same_c = np.zeros(lead, bool), np.zeros(lead, bool)
+                same_a[1:] = a[1:] == a[:-1]
+                same_c[1:] = same_a[1:] & (c[1:] == c[:-1])
+                if before is not None:
+                    same_a[0] = a[0] == before[0]
+                    same_c[0] = same_a[0] and c[0] == before[1]
+                at_run = np.maximum.accumulate(np.where(same_c, -1, np.arange(lead)))
+                place = np.arange(lead) - np.maximum(at_run, 0) + np.where(at_run < 0, before[2] + 1 if before else 0, 0)
+                stands = place % SEGMENT == 0
+                by = np.maximum.accumulate(np.where(stands, np.arange(lead), -1))
+                of = np.where(by < 0, before[3] if before else 0, k[np.maximum(by, 0)])
+                done = lead if final or lead < len(cols[0]) else lead - 1
+                again_c = same_c | np.append(same_c[1:], False) | (at & 1 == 1)
+                keep = (same_a | np.append(same_a[1:], False) | (at & 1 == 1))[:done]
+                n = np.where(stands, 1 + again_c, 0)
+                if done:
+                    before = (int(a[done - 1]), int(c[done - 1]), int(place[done - 1]), int(of[done - 1]))
+                    yield batch_of([x[:done][keep] for x in (a, c, k, at, of, n)])
+            if len(out[0]):
+                yield batch_of([*out[:3], -1 - out[3], out[4], np.full(len(out[0]), -1)])
+
+        def batch_of(cols: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in cols[:5]], pa.array(cols[5], pa.int32())], names=["a", "c", "k", "at", "s", "n"])
 
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            cols = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
             if not len(cols[0]):
                 continue
-            if kept:
-                cols = [np.concatenate([x, y]) for x, y in zip(kept, cols, strict=True)]
-            if len(cols[0]) > 1:
-                yield emit(cols, last, False)
-                last = (cols[0][-2], cols[1][-2])
-            kept = [x[-1:] for x in cols]
-        if kept:
-            yield emit(kept, last, True)
-
-    return rows.mapInArrow(run, "k long, at long, end long")
+            if held:
+                cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
+            yield from judged(cols, False)
+            held = [x[-1:] for x in cols] if cols[3][-1] >= 0 else None
+        if held:
+            yield from judged(held, True)
 
+    return rows.mapInArrow(run, "a long, c long, k long, at long, s long, n int")
 
-def _parts(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
-
-def _packed(df: DataFrame) -> DataFrame:
-    """(k, z) and what is carried: the texts, compressed, as they are shuffled."""
-    names = ["k", "z", *df.columns[2:]]
-    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in df.schema[2:])
+def _suffixes(stored: DataFrame, found: DataFrame, length: int) -> DataFrame:
+    """Cut from the texts, for each row that stands for others or itself: (a, c, s, n, back, after); ``back`` is read backwards."""
+    wanted = found.where("n > 0").groupBy("k").agg(F.collect_list(F.struct("at", "n")).alias("flags"))
+    both = stored.select("k", "z").join(wanted.hint("shuffle_hash"), "k").select("k", "z", "flags.at", "flags.n")
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(t) for t in raw(batch.column(1))], pa.binary()), *batch.columns[2:]], names=names)
-
-    return df.mapInArrow(run, f"k long, z binary{more}")
-
-
-def _unpacked(z: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(z)
+        columns: list[list] = [[] for _ in kinds]
 
+        def filled() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=["a", "c", "s", "n", "back", "after"])
+            for x in columns:
+                x.clear()
+            return out
 
-def hot_anchors(keyed: DataFrame, length: int) -> frozenset[int]:
-    """Anchors with very many different surroundings, by an estimate from a sample; at most ``HOT``."""
-    some = _sample(keyed.where(F.pmod(F.xxhash64("k"), F.lit(SAMPLED)) == 0), length).where("at >= 0")
-    found = some.groupBy("a", "c").agg(F.lit(1)).groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > GROUP / SAMPLED)
-    return frozenset(r.a for r in found.orderBy(F.desc("n"), "a").limit(HOT).collect())
+        for batch in batches:
+            for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
+                for key, z, places, times in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                    text = _unpacked(z)
+                    for packed, n in zip(places, times, strict=True):
+                        p, start, end = _place(packed, length)
+                        row = (_signed(xxhash.xxh3_64_intdigest(text[p : p + GRAM])), _signed(xxhash.xxh3_64_intdigest(text[start:end], p - start)), key, n, text[start:p][::-1], text[p:end])
+                        for x, value in zip(columns, row, strict=True):
+                            x.append(value)
+                    if len(columns[0]) > 5_000:
+                        yield filled()
+        yield filled()
 
+    return both.mapInArrow(run, "a long, c long, s long, n int, back binary, after binary")
 
-def _cut(texts: DataFrame, flags: DataFrame, length: int, hot: frozenset[int]) -> DataFrame:
-    """Surroundings to sort (g: anchor, k, at, before, after) and known stretches (before null; at: start, g: end).
 
-    Of hot anchors, each window instead: ``after`` is null, ``before`` the digest, ``at`` the start.
-    """
-    wanted = flags.groupBy("k").agg(F.collect_list(F.struct("at", "end")).alias("flags"))
-    both = texts.join(wanted.hint("shuffle_hash"), "k").select("k", "z", "flags.at", "flags.end")
+def _covered(suffixes: DataFrame, length: int, group: str = "a") -> DataFrame:
+    """(a, c, s, lo, hi): how far before and after the anchor each suffix is covered; ``group`` says which are sorted together."""
+    rows = suffixes.select(F.col(group).alias("g"), "a", "c", "s", "n", "back", "after").repartition(partitions(suffixes.sparkSession), "g").sortWithinPartitions("g", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, k, at, before, after = columns = [], [], [], [], []
+        columns: list[list] = [[] for _ in range(5)]
 
-        def filled():
-            out = pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["g", "k", "at", "before", "after"])
+        def filled() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["a", "c", "s", "lo", "hi"])
             for x in columns:
                 x.clear()
             return out
 
+        def close(held: list) -> None:
+            """``held``: [a, c, all s, n, back, after]."""
+            if len(held) < 2 and not (held and held[0][3] > 1):
+                return
+            left, right = Group([r[4] for r in held], [r[5] for r in held], [r[3] for r in held]).covered(length)
+            for (a, c, every, *_), lo, hi in zip(held, left.tolist(), right.tolist(), strict=True):
+                if hi:
+                    for s in every:
+                        for x, value in zip(columns, (a, c, s, lo, hi), strict=True):
+                            x.append(value)
+
+        at, held = None, []
         for batch in batches:
-            for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                for key, z, places, ends in zip(*[c.to_pylist() for c in part.columns], strict=True):
-                    text = _unpacked(z)
-                    known = []
-                    for p, e in zip(places, ends, strict=True):
-                        if e > 0:
-                            known.append((p, e))
-                            continue
-                        p, start, end = _place(p, length)
-                        if e < 0:
-                            known.append((start, end))
-                        anchor = _signed(xxhash.xxh3_64_intdigest(text[p : p + GRAM]))
-                        if anchor in hot:
-                            for w in range(start, end - length + 1):
-                                g.append(anchor)
-                                k.append(key)
-                                at.append(w)
-                                before.append(xxhash.xxh3_128_digest(text[w : w + length]))
-                                after.append(None)
-                            continue
-                        g.append(anchor)
-                        k.append(key)
-                        at.append(p)
-                        before.append(text[start:p])
-                        after.append(text[p:end])
-                    for start, end in merged(known):
-                        g.append(end)
-                        k.append(key)
-                        at.append(start)
-                        before.append(None)
-                        after.append(None)
-                    if len(g) > 5_000:
-                        yield filled()
+            for g, a, c, s, n, back, after in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                if g != at:
+                    close(held)
+                    at, held = g, []
+                if held and held[-1][1] == c and held[-1][0] == a:  # the same suffix from another segment
+                    held[-1][2].append(s)
+                    held[-1][3] = 2
+                else:
+                    held.append([a, c, [s], n, back, after])
+            if len(columns[0]) > 10_000:
+                yield filled()
+        close(held)
         yield filled()
 
-    return both.mapInArrow(run, "g long, k long, at long, before binary, after binary")
+    return rows.mapInArrow(run, "a long, c long, s long, lo long, hi long")
 
 
-def _place(packed: int, length: int) -> tuple[int, int, int]:
-    """An anchor's place, and start and end of all its windows."""
-    at = packed >> 16
-    start = at - (packed >> 8 & 255)
-    return at, start, start + (packed & 255) + length
+def _shared(nodes: DataFrame) -> DataFrame:
+    """(node, b, e): the bytes that all members of an interval share on either side, from the least and the greatest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, *ends = [x.to_pylist() for x in batch.columns]
+            b, e = [common(x, y) for x, y in zip(*ends[:2], strict=True)], [common(x, y) for x, y in zip(*ends[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(b, pa.int32()), pa.array(e, pa.int32())], names=["node", "b", "e"])
+
+    return nodes.select("node", "b0", "b1", "e0", "e1").mapInArrow(run, "node long, b int, e int")
+
+
+def _divided(suffixes: DataFrame, length: int) -> DataFrame:
+    """As ``_covered``, for anchors with more suffixes than one task sorts.
+
+    Intervals that are too large are divided level by level.  All members of
+    one are covered by what they share; the next byte after it deals them to
+    the intervals below, and the next byte before it to groups within, which
+    are divided by what precedes them alone: the tree of the one within the
+    intervals of the other, as one task would visit it.
+    """
+    live = suffixes.groupBy("a", "c").agg(F.first("back").alias("back"), F.first("after").alias("after"), F.max("n").alias("_n"), F.count("*").alias("_m"))
+    times = F.when((F.col("_m") > 1) | (F.col("_n") > 1), 2).otherwise(1).cast("int")
+    live = written(live.select("a", "c", "back", "after", times.alias("n"), F.col("a").alias("node"), F.lit(False).alias("within")))
+    every, covers = live, []
+    while True:
+        ends = [F.min("back").alias("b0"), F.max("back").alias("b1"), F.min("after").alias("e0"), F.max("after").alias("e1")]
+        large = written(_shared(live.groupBy("node").agg(F.count("*").alias("_n"), *ends).where(F.col("_n") > GROUP)))
+        small = live.join(large, "node", "left_anti").withColumn("s", F.lit(0).cast("long"))
+        covers.append(_covered(small, length, "node").select("a", "c", "lo", "hi"))
+        if large.isEmpty():
+            break
+        members = live.join(large, "node")
+        covers.append(members.where(F.col("b") + F.col("e") >= length).select("a", "c", F.col("b").cast("long").alias("lo"), F.col("e").cast("long").alias("hi")))
+        after, back = F.expr("substring(after, e + 1, 1)"), F.expr("substring(back, b + 1, 1)")
+        below = members.where(~F.col("within") & (F.octet_length("after") > F.col("e"))).withColumn("node", F.xxhash64("node", F.lit(1), after))
+        inside = members.where(F.octet_length("back") > F.col("b")).withColumn("node", F.xxhash64("node", F.lit(2), back)).withColumn("within", F.lit(True))
+        live = written(below.unionByName(inside).select(*every.columns))
+    covers.append(every.where("n > 1").select("a", "c", F.octet_length("back").cast("long").alias("lo"), F.octet_length("after").cast("long").alias("hi")))
+    most = covers[0]
+    for more in covers[1:]:
+        most = most.unionByName(more)
+    most = most.groupBy("a", "c").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+    return suffixes.select("a", "c", "s").join(most, ["a", "c"]).select("a", "c", "s", "lo", "hi")
+
+
+def repeated_spans(stored: DataFrame, length: int = LENGTH) -> DataFrame:
+    """For each k of ``_stored`` with any, the repeated stretches ``spans``: arrays of (start, end), in bytes, not merged."""
+    found = written(_occurrences(_sample(stored, length)))
+    suffixes = _suffixes(stored, found, length)
+    hot = found.where("n > 0").groupBy("a").agg(F.count("*").alias("_n")).where(F.col("_n") > GROUP).select("a")
+    if hot.isEmpty():
+        cover = written(_covered(suffixes, length))
+    else:
+        hot, suffixes = written(hot), written(suffixes)
+        cover = _covered(suffixes.join(hot, "a", "left_anti"), length).unionByName(_divided(suffixes.join(hot, "a"), length))
+        cover = written(cover)
+    place = F.shiftright("at", 17)
+    key = ["a", "c", "s"]
+    direct = found.where("n >= 0").join(cover, key).select("a", "c", "k", "at", "lo", "hi")
+    leaders = direct.where(F.col("at").bitwiseAND(F.lit(1)) == 1).select("a", "c", F.col("k").alias("s"), "lo", "hi")
+    every = direct.select("k", "at", "lo", "hi").unionByName(found.where("n < 0").join(leaders, key).select("k", "at", "lo", "hi"))
+    spans = every.select("k", (place - F.col("lo")).alias("start"), (place + F.col("hi")).alias("end"))
+    return spans.groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -406,87 +455,24 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _covered(cut: DataFrame, length: int) -> DataFrame:
-    """(k, start, end) of repeated stretches, from sorted surroundings."""
-    known = F.col("before").isNull()
-    spread = F.when(known, F.xxhash64("k", "at")).otherwise(F.col("g"))
-    rows = cut.withColumn("_d", spread).repartition(_parts(cut.sparkSession), "_d").sortWithinPartitions("_d", "before")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, lo, hi = [], [], []
+def removed(df: DataFrame, text: str = "text", length: int = LENGTH, as_text: bool = False, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """For every row ``n_bytes``, ``n_removed``, ``starts`` and ``ends`` (of the merged runs), ``kept``, the bytes that stay, and ``carried``.
 
-        def batch_of():
-            out = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (k, lo, hi)], names=["k", "start", "end"])
-            for x in (k, lo, hi):
-                x.clear()
-            return out
-
-        def close(held):
-            if len(held) < 2:
-                return
-            left, right = reach(Group([r[2] for r in held], [r[3] for r in held]), length)
-            for (key, at, *_), a, b in zip(held, left.tolist(), right.tolist(), strict=True):
-                if b:
-                    k.append(key)
-                    lo.append(at - a)
-                    hi.append(at + b)
-
-        anchor, held = None, []
-        for batch in batches:
-            for g, key, at, before, after, _ in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if before is None:
-                    k.append(key)
-                    lo.append(at)
-                    hi.append(g)
-                    continue
-                if g != anchor:
-                    close(held)
-                    anchor, held = g, []
-                held.append((key, at, before, after))
-            if len(k) > 10_000:
-                yield batch_of()
-        close(held)
-        yield batch_of()
-
-    return rows.mapInArrow(run, "k long, start long, end long")
-
-
-def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """The compressed texts (k, z, and ``carried`` if asked for) and, for each k with any, the repeated stretches ``spans``: arrays of (start, end), in bytes, not merged."""
-    texts = _packed(_keyed(df, text, key, carry))
-    keyed = _keyed(df, text, key)
-    flags = _judged(_sample(keyed, length))
-    hot = hot_anchors(keyed, length)
-    cut = _cut(_packed(keyed), flags, length, hot)
-    if hot:
-        cut = written(cut)
-        windows = cut.where("before is not null and after is null").select("before", "k", "at")
-        again = windows.groupBy("before").agg(F.count("*").alias("_n")).where("_n > 1").select("before")
-        counted = windows.join(again, "before").select("k", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
-        covered = _covered(cut.where("before is null or after is not null"), length).unionByName(counted)
-    else:
-        covered = _covered(cut, length)
-    return texts, covered.groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-
-
-def removed(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, as_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Every row's key ``k`` with ``n_bytes``, ``n_removed``, ``starts`` and ``ends`` (of the merged runs) and ``kept``, the bytes that stay.
-
-    ``as_text`` returns ``kept`` as a string, without what a run has left of a
-    character.  ``carry`` names columns that go along, in the struct ``carried``,
-    which saves another shuffle of the texts.
+    ``carried`` is a struct of the columns that ``carry`` names, so no name can
+    clash.  ``as_text`` returns ``kept`` as a string, without what a run has
+    left of a character.
     """
     kind = pa.string() if as_text else pa.binary()
-    texts, spans = repeated_spans(df, text, key, length, carry)
-    more = ["carried"] if carry else []
-    both = texts.join(spans.hint("shuffle_hash"), "k", "left").select("k", "z", "spans.start", "spans.end", *more)
-    kinds = "".join(f", {n} {texts.schema[n].dataType.simpleString()}" for n in more)
+    stored = _stored(df, text, carry)
+    spans = repeated_spans(stored, length)
+    both = stored.join(spans.hint("shuffle_hash"), "k", "left").select("z", "spans.start", "spans.end", "carried")
+    names = ["n_bytes", "n_removed", "starts", "ends", "kept", "carried"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                k, size, gone, starts, ends, kept = [], [], [], [], [], []
-                for key_, z, s, e in zip(*[c.to_pylist() for c in part.columns[:4]], strict=True):
+                size, gone, starts, ends, kept = [], [], [], [], []
+                for z, s, e in zip(*[c.to_pylist() for c in part.columns[:3]], strict=True):
                     whole = _unpacked(z)
                     runs = merged(list(zip(s or [], e or [], strict=True)))
                     at, stay = 0, []
@@ -494,14 +480,12 @@ def removed(df: DataFrame, text: str = "text", key: str = "doc_id", length: int
                         stay.append(whole[at:a])
                         at = b
                     stay.append(whole[at:])
-                    k.append(key_)
                     size.append(len(whole))
                     gone.append(sum(b - a for a, b in runs))
                     starts.append([a for a, _ in runs])
                     ends.append([b for _, b in runs])
                     stay = b"".join(stay)
                     kept.append(stay.decode(errors="ignore") if as_text else stay)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(kept, kind), *part.columns[4:]], names=["k", "n_bytes", "n_removed", "starts", "ends", "kept", *more])
-
-    return both.mapInArrow(run, "k long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept " + ("string" if as_text else "binary") + kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(kept, kind), part.column(3)], names=names)
 
+    return both.mapInArrow(run, "n_bytes long, n_removed long, starts array<long>, ends array<long>, kept " + ("string" if as_text else "binary") + f", carried {stored.schema['carried'].dataType.simpleString()}")
