@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objectlake.llm.common import remove, written
+from objectlake.llm.common import join_counted, remove, written
 
 
 def _facts(edges: DataFrame) -> tuple:
@@ -19,8 +19,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Edges point from the larger node to the smaller.  Large-star links a
     node's larger neighbours to the smallest node around it; small-star links
     its smaller neighbours to the smallest of them.  Both are a minimum for
-    each node and a join, so a node of any degree is summed before the shuffle
-    and its edges may spread over tasks.  Rounds end when nothing changes;
+    each node, summed before the shuffle, and a join in which the edges of nodes
+    with a large share of them are dealt to several tasks.  Rounds end when nothing changes;
     their number grows with the logarithm of the longest path.  Self loops,
     nulls and repeated edges are ignored.
     """
@@ -29,10 +29,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = _facts(edges)
     while before[0]:
         both = edges.select(F.col("parent").alias("n"), F.col("child").alias("m")).union(edges.select("child", "parent"))
-        least = both.groupBy("n").agg(F.min("m").alias("_m")).select("n", F.least("n", "_m").alias("_m"))
-        large = edges.join(least, edges.parent == least.n).select("child", F.col("_m").alias("parent")).distinct()
-        own = large.groupBy("child").agg(F.min("parent").alias("_m"))
-        moved = large.join(own, "child").where("parent != _m").select(F.col("parent").alias("child"), F.col("_m").alias("parent"))
+        least = both.groupBy("n").agg(F.min("m").alias("_m"), F.count("*").alias("_n")).select(F.col("n").alias("parent"), F.least("n", "_m").alias("_m"), "_n")
+        large = join_counted(edges, least, "parent", 2 * before[0], spread="child").select("child", F.col("_m").alias("parent")).distinct()
+        own = large.groupBy("child").agg(F.min("parent").alias("_m"), F.count("*").alias("_n"))
+        moved = join_counted(large, own, "child", before[0], spread="parent").where("parent != _m").select(F.col("parent").alias("child"), F.col("_m").alias("parent"))
         small = own.select("child", F.col("_m").alias("parent")).union(moved).distinct()
         done, edges = edges, written(small)
         after = _facts(edges)

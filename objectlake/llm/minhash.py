@@ -3,15 +3,20 @@
 A document's set is its distinct five-word shingles, words lower-cased (A to Z)
 and split at ASCII white space; fewer words are one shingle.  Equal sets are
 one class, of which the smallest id stands for all, so copies are never paired.
-Representatives that share a band of the signature are tied to the smallest of
-them; what is tied together is a cluster, in which alone pairs are compared:
-by signature first, then on the full sets.  Large clusters are compared block
-by block, each pair of blocks in a task of its own, and every task returns a
-forest of confirmed links, not pairs.
-
-Null or empty texts have no shingles and link with nothing.  Ids tell documents
-apart: rows that share one must be the same row.  Rows without an id take part
-in no group.  An empty table gives an empty result.
+Documents that share a band of the signature are a bucket, and are tied to the
+smallest of them, its top.  Those tied to one top are dealt to blocks, each
+with the top, and compared in their block: by signature first, then on the full
+sets, but for pairs that are joined already.  So the work of chains of buckets
+grows with their members alone.  Where a top has several blocks and not all
+are joined by then, members outside the largest component are compared with
+those of all other blocks, each pair of blocks in a task of its own.  Tasks
+return a forest of confirmed links, not pairs.
+
+Null or empty texts have no shingles and link with nothing.  Ids are integers
+and tell documents apart: rows that share one must be the same row.  Rows
+without an id take part in no group.  Only the id and the text are read, so
+other columns' names can't clash.  Texts of any length are shingled whole.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +28,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from objectlake.llm.common import raw, written
+from objectlake.llm.common import join_counted, partitions, raw, written
 from objectlake.llm.components import components
 
 WORDS = 5
@@ -37,8 +42,8 @@ MISS = 5e-5
 #: Minima in a signature, at most, where the similarity asked for is not very low.
 HASHES = 126
 
-#: Documents and shingles in a block of a cluster, at most on average.
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Documents and shingles in a block, at most on average.
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 19
 
 #: Words whose hashes a worker remembers.
 CACHE_WORDS = 500_000
@@ -170,11 +175,11 @@ def confirmed(own: np.ndarray, others: list[np.ndarray], num: int, den: int) ->
     return den * shared >= num * (len(own) + sizes - shared)
 
 
-def links(ids: list[int], sides: np.ndarray, sets: list[np.ndarray], across: bool, num: int, den: int) -> list[tuple[int, int]]:
+def links(ids: list[int], sides: np.ndarray, sets: list[np.ndarray], across: bool, num: int, den: int, joined: list[int] | None = None) -> list[tuple[int, int]]:
     """A forest of confirmed links among the members of a block, or between two blocks.
 
     Members that agree with many are compared first, so that most are joined
-    early; pairs that are joined already are not compared.
+    early; pairs that are joined already, here or by equal values of ``joined``, are not compared.
     """
     n = len(ids)
     minima = math.prod(bands_rows(num, den))
@@ -182,6 +187,10 @@ def links(ids: list[int], sides: np.ndarray, sets: list[np.ndarray], across: boo
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     least = (num / den - slack(num, den, minima)) * minima
     forest = Forest(n)
+    first: dict[int, int] = {}
+    for i, component in enumerate(joined or ()):
+        forest.join(i, first.setdefault(component, i))
+    start = [forest.find(i) for i in range(n)]
 
     def near(i: int) -> np.ndarray:
         ok = (den * np.minimum(sizes, sizes[i]) >= num * np.maximum(sizes, sizes[i])) & (np.arange(n) != i)
@@ -211,7 +220,7 @@ def links(ids: list[int], sides: np.ndarray, sets: list[np.ndarray], across: boo
                     forest.join(i, j)
     for i in range(n):
         root = forest.find(i)
-        if root != i:
+        if start[i] == i and root != i:
             found.append((ids[i], ids[root]))
     return found
 
@@ -230,17 +239,62 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield at, rows
 
 
-def blocks(members: DataFrame, weight: str) -> DataFrame:
-    """Deals the members of each cluster to blocks and gives every member a row for each pair of blocks that it is in.
+def _blocks(n: Column, weight: Column) -> Column:
+    return F.greatest(F.ceil(n / BLOCK_DOCS), F.ceil(weight / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
-    Adds ``x`` and ``y``, the pair, and ``side``, the member's own block.
+
+def _compared(rows: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+    """The forests (a, b) of groups: rows (top, x, y, side, joined, id, set), where only pairs of different sides count if x and y differ."""
+    dealt = rows.select("top", "x", "y", "id", "side", "joined", "set").repartition(parts, "top", "x", "y").sortWithinPartitions("top", "x", "y", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, x, y), group in grouped(batches, 3):
+            if len(group) < 2:
+                continue
+            sets = [np.frombuffer(r[3], np.uint64) for r in group]
+            out = links([r[0] for r in group], np.array([r[1] for r in group]), sets, x != y, num, den, [r[2] for r in group])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def linked(ties: DataFrame, members: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+    """Rows (node, component) of confirmed links among the documents of each top.
+
+    ``ties`` has (id, top) once, ``members`` (id, n_shingles, set) of all ids and tops.
     """
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("_n"), F.sum(weight).alias("_w"))
-    count = F.greatest(F.ceil(F.col("_n") / BLOCK_DOCS), F.ceil(F.col("_w") / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    sizes = sizes.where("_n > 1").select("cluster", count.alias("_blocks"))
-    dealt = members.join(sizes, "cluster").withColumn("side", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    return dealt.withColumn("_o", other).withColumn("x", F.least("side", "_o")).withColumn("y", F.greatest("side", "_o")).drop("_o", "_blocks")
+    sized = ties.join(members.select("id", "n_shingles"), "id")
+    tops = written(sized.groupBy("top").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_w")).select("top", "_n", _blocks(F.col("_n"), F.col("_w")).alias("_blocks")))
+    total = tops.agg(F.sum("_n")).first()[0] or 0
+    spread = join_counted(ties, tops, "top", total, spread="id").withColumn("x", F.pmod(F.xxhash64("id", "top"), F.col("_blocks")).cast("int"))
+    heads = tops.select(F.col("top").alias("id"), "top", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("x"))
+    placed = spread.select("id", "top", "x").unionByName(heads).join(members.select("id", "set"), "id")
+    placed = placed.withColumn("y", F.col("x")).withColumn("side", F.lit(0)).withColumn("joined", F.col("id"))
+    together = components(_compared(placed, parts, num, den))
+    wide = tops.where("_blocks > 1").select("top")
+    if wide.isEmpty():
+        return together
+    # what blocks have left apart
+    together = written(together)
+    some = ties.join(wide, "top").unionByName(wide.select(F.col("top").alias("id"), "top"))
+    some = written(some.join(together.withColumnRenamed("node", "id"), "id", "left").select("id", "top", F.coalesce("component", "id").alias("joined")).join(members.select("id", "n_shingles"), "id"))
+    groups = some.groupBy("top", "joined").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_w"))
+    order = F.struct("_n", "joined")
+    main = groups.groupBy("top").agg(F.max_by("joined", order).alias("_main"), F.max_by("_n", order).alias("_mn"), F.max_by("_w", order).alias("_mw"), F.sum("_n").alias("_n"), F.sum("_w").alias("_w"))
+    main = main.where("_n > _mn").select("top", "_main", "_n", _blocks(F.col("_mn"), F.col("_mw")).alias("_wide"), _blocks(F.col("_n") - F.col("_mn"), F.col("_w") - F.col("_mw")).alias("_few"))
+    main = written(main)
+    if main.isEmpty():
+        return together
+    # blocks 0 to _few - 1 hold what is outside the largest component, the others that component; pairs of the latter are left out
+    few = F.col("joined") != F.col("_main")
+    here = join_counted(some, main, "top", main.agg(F.sum("_n")).first()[0], spread="id")
+    h = F.xxhash64(F.lit(3), "id")
+    here = here.withColumn("side", F.when(few, F.pmod(h, F.col("_few"))).otherwise(F.col("_few") + F.pmod(h, F.col("_wide"))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.when(few, F.col("_few") + F.col("_wide")).otherwise(F.col("_few")).cast("int") - 1))
+    here = here.withColumn("_o", other).withColumn("x", F.least("side", "_o")).withColumn("y", F.greatest("side", "_o"))
+    more = _compared(here.select("id", "top", "x", "y", "side", "joined").join(members.select("id", "set"), "id"), parts, num, den)
+    return components(more.unionByName(together.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", num: int = 85, den: int = 100) -> DataFrame:
@@ -253,39 +307,31 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", num:
     every = written(signed(df, text, key, n_bands * n_rows))
     some = every.where("id is not null and n_shingles > 0")
     classes = some.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    bands = banded(classes, n_bands, n_rows)
-    tops = bands.groupBy("band").agg(F.min("id").alias("top"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    ties = bands.join(tops, "band").where("id != top").select("id", "top")
-    clusters = components(ties, "id", "top")
-    wanted = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    bands = written(banded(classes, n_bands, n_rows))
+    tops = written(bands.groupBy("band").agg(F.min("id").alias("top"), F.count("*").alias("_n")).where("_n > 1"))
+    total = tops.agg(F.sum("_n")).first()[0] or 0
+    ties = written(join_counted(bands, tops, "band", total, spread="id").where("id != top").select("id", "top").distinct())
+    wanted = ties.select("id").union(ties.select("top")).distinct()
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text"))
-    members = written(_sets(wanted.join(rows, "id").select("id", "cluster", "_text")))
-    pairs = blocks(members, "n_shingles").select("cluster", "x", "y", "side", "id", "set")
-    sorted_pairs = pairs.repartition(spark.sparkContext.defaultParallelism * 4, "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, x, y), group in grouped(batches, 3):
-            sets = [np.frombuffer(r[2], np.uint64) for r in group]
-            out = links([r[1] for r in group], np.array([r[0] for r in group]), sets, x != y, num, den)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
-
-    linked = components(sorted_pairs.mapInArrow(run, "a long, b long"))
-    reps = classes.select("hi", "lo", F.col("id").alias("_rep")).join(linked.withColumnRenamed("node", "_rep"), "_rep", "left")
+    members = written(_sets(wanted.join(rows, "id").select("id", "_text").dropDuplicates(["id"])))
+    size = 8 * (members.agg(F.sum("n_shingles")).first()[0] or 0)
+    parts = max(4 * spark.sparkContext.defaultParallelism, partitions(spark, size))
+    together = linked(ties, members, parts, num, den)
+    reps = classes.select("hi", "lo", F.col("id").alias("_rep")).join(together.withColumnRenamed("node", "_rep"), "_rep", "left")
     out = every.drop("sig").join(reps, ["hi", "lo"], "left")
     group = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("component", "_rep")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", group.alias("component_id"), F.coalesce(F.col("id") == group, F.lit(False)).alias("kept"))
 
 
-def _sets(members: DataFrame) -> DataFrame:
+def _sets(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             sets = []
-            for t in raw(batch.column(2)):
+            for t in raw(batch.column(1)):
                 if len(hashes) > CACHE_WORDS:
                     hashes.clear()
                 sets.append(shingles(t, hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "cluster", "n_shingles", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n_shingles", "set"])
 
-    return members.mapInArrow(run, "id long, cluster long, n_shingles long, set binary")
+    return rows.mapInArrow(run, "id long, n_shingles long, set binary")

@@ -43,7 +43,7 @@ def test_near_duplicates_query(spark, sf):
     assert found(queries.near_duplicates_query(spark, sf)) == brute(docs)
 
 
-@pytest.mark.parametrize("block", [1024, 4])
+@pytest.mark.parametrize("block", [512, 4])
 def test_groups_of_near_copies(spark, block, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_DOCS", block)
     rng = random.Random(4)
@@ -111,6 +111,31 @@ def test_bands_follow_the_similarity():
         assert minhash.slack(num, 100, n) >= 4 * (p * (1 - p) / n) ** 0.5
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_a_chain_of_near_copies(spark, block, monkeypatch):
+    """Each text differs a little from the one before, so the ends of the chain share nothing."""
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", block)
+    rng = random.Random(5)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+    docs = {}
+    for i in range(3000 if block == 512 else 300):
+        docs[i] = " ".join(words)
+        words[rng.randrange(120)] = f"w{rng.randint(0, 10**6)}"
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r.component_id for r in minhash.near_duplicates(df).collect()} == {0}
+
+
+def test_large_groups_that_blocks_leave_apart(spark, monkeypatch):
+    """Members of one top in several blocks, of which some link only across blocks."""
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 3)
+    sets = {i: list(range(100 * (i // 2), 100 * (i // 2) + 50 + i % 2)) for i in range(1, 24)}
+    np = minhash.np
+    df = spark.createDataFrame([(i, len(x), np.array(x, np.uint64).tobytes()) for i, x in sets.items()], "id long, n_shingles long, set binary")
+    ties = spark.createDataFrame([(i, 1) for i in sets if i > 1], "id long, top long")
+    got = {r.node: r.component for r in minhash.linked(ties, df, 8, 85, 100).collect()}
+    assert got == {i: i - i % 2 for i in sets if i > 1}
+
+
 def test_low_similarity(spark):
     """Most pairs near 0.5 share none of 21 bands of 6."""
     rng = random.Random(6)
