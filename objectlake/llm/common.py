@@ -11,7 +11,7 @@ import uuid
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -39,7 +39,13 @@ def ship(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a table that is read in fewer tasks than there are cores to as many tasks as cores; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def scratch(spark: SparkSession) -> str:
@@ -60,19 +66,18 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def written(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+def written(df: DataFrame, *facts: Column) -> DataFrame:
     """Writes ``df`` to the shared scratch folder and reads it back, which cuts the lineage.
 
-    ``replaces``, an earlier result of this function that nothing reads any more, is deleted.
+    ``facts`` are aggregates of its rows, with names, that are taken as it is
+    written; the result has them in ``facts``.
     """
     spark = df.sparkSession
-    path = scratch(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    path, seen = scratch(spark), Observation()
+    (df.observe(seen, *facts) if facts else df).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._objectlake_path = path
+    out.path, out.facts = path, seen.get if facts else {}
     atexit.register(_remove_late, spark, path)
-    if replaces is not None and getattr(replaces, "_objectlake_path", None):
-        remove(spark, replaces._objectlake_path)
     return out
 
 
@@ -109,9 +114,12 @@ def join_counted(rows: DataFrame, one: DataFrame, key: str, total: int, how: str
     """Joins ``rows`` with ``one``, which has a row for each ``key`` and, as ``_n``, how many of the ``total`` rows have that key.
 
     Keys that have more than a share of the rows, of which there are fewer than
-    ``SHARE``, are dealt to several tasks each, by ``spread`` (a column of ``rows``).
+    ``SHARE``, are dealt to several tasks each, by ``spread`` (a column of ``rows``);
+    of few rows no key has many.
     """
-    most = max(1, total // SHARE)
+    if total <= 10 * SHARE:
+        return rows.join(one.drop("_n"), key, how)
+    most = total // SHARE
     hot = one.where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_deals"))
     deal = F.pmod(F.xxhash64(F.lit(5), F.col(spread or rows.columns[0])), F.col("_deals")).cast("int")
     dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_deal", F.coalesce(deal, F.lit(0))).drop("_deals")

@@ -265,15 +265,15 @@ def linked(ties: DataFrame, members: DataFrame, parts: int, num: int, den: int)
     ``ties`` has (id, top) once, ``members`` (id, n_shingles, set) of all ids and tops.
     """
     sized = ties.join(members.select("id", "n_shingles"), "id")
-    tops = written(sized.groupBy("top").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_w")).select("top", "_n", _blocks(F.col("_n"), F.col("_w")).alias("_blocks")))
-    total = tops.agg(F.sum("_n")).first()[0] or 0
-    spread = join_counted(ties, tops, "top", total, spread="id").withColumn("x", F.pmod(F.xxhash64("id", "top"), F.col("_blocks")).cast("int"))
+    tops = sized.groupBy("top").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_w")).select("top", "_n", _blocks(F.col("_n"), F.col("_w")).alias("_blocks"))
+    tops = written(tops, F.sum("_n").alias("n"), F.max("_blocks").alias("blocks"))
+    spread = join_counted(ties, tops, "top", tops.facts["n"] or 0, spread="id").withColumn("x", F.pmod(F.xxhash64("id", "top"), F.col("_blocks")).cast("int"))
     heads = tops.select(F.col("top").alias("id"), "top", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("x"))
     placed = spread.select("id", "top", "x").unionByName(heads).join(members.select("id", "set"), "id")
     placed = placed.withColumn("y", F.col("x")).withColumn("side", F.lit(0)).withColumn("joined", F.col("id"))
     together = components(_compared(placed, parts, num, den))
     wide = tops.where("_blocks > 1").select("top")
-    if wide.isEmpty():
+    if (tops.facts["blocks"] or 1) == 1:
         return together
     # what blocks have left apart
     together = written(together)
@@ -283,12 +283,12 @@ def linked(ties: DataFrame, members: DataFrame, parts: int, num: int, den: int)
     order = F.struct("_n", "joined")
     main = groups.groupBy("top").agg(F.max_by("joined", order).alias("_main"), F.max_by("_n", order).alias("_mn"), F.max_by("_w", order).alias("_mw"), F.sum("_n").alias("_n"), F.sum("_w").alias("_w"))
     main = main.where("_n > _mn").select("top", "_main", "_n", _blocks(F.col("_mn"), F.col("_mw")).alias("_wide"), _blocks(F.col("_n") - F.col("_mn"), F.col("_w") - F.col("_mw")).alias("_few"))
-    main = written(main)
-    if main.isEmpty():
+    main = written(main, F.sum("_n").alias("n"))
+    if not main.facts["n"]:
         return together
     # blocks 0 to _few - 1 hold what is outside the largest component, the others that component; pairs of the latter are left out
     few = F.col("joined") != F.col("_main")
-    here = join_counted(some, main, "top", main.agg(F.sum("_n")).first()[0], spread="id")
+    here = join_counted(some, main, "top", main.facts["n"], spread="id")
     h = F.xxhash64(F.lit(3), "id")
     here = here.withColumn("side", F.when(few, F.pmod(h, F.col("_few"))).otherwise(F.col("_few") + F.pmod(h, F.col("_wide"))).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.when(few, F.col("_few") + F.col("_wide")).otherwise(F.col("_few")).cast("int") - 1))
@@ -308,14 +308,12 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", num:
     some = every.where("id is not null and n_shingles > 0")
     classes = some.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     bands = written(banded(classes, n_bands, n_rows))
-    tops = written(bands.groupBy("band").agg(F.min("id").alias("top"), F.count("*").alias("_n")).where("_n > 1"))
-    total = tops.agg(F.sum("_n")).first()[0] or 0
-    ties = written(join_counted(bands, tops, "band", total, spread="id").where("id != top").select("id", "top").distinct())
+    tops = written(bands.groupBy("band").agg(F.min("id").alias("top"), F.count("*").alias("_n")).where("_n > 1"), F.sum("_n").alias("n"))
+    ties = written(join_counted(bands, tops, "band", tops.facts["n"] or 0, spread="id").where("id != top").select("id", "top").distinct())
     wanted = ties.select("id").union(ties.select("top")).distinct()
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text"))
-    members = written(_sets(wanted.join(rows, "id").select("id", "_text").dropDuplicates(["id"])))
-    size = 8 * (members.agg(F.sum("n_shingles")).first()[0] or 0)
-    parts = max(4 * spark.sparkContext.defaultParallelism, partitions(spark, size))
+    members = written(_sets(wanted.join(rows, "id").select("id", "_text").dropDuplicates(["id"])), F.sum("n_shingles").alias("n"))
+    parts = max(4 * spark.sparkContext.defaultParallelism, partitions(spark, 8 * (members.facts["n"] or 0)))
     together = linked(ties, members, parts, num, den)
     reps = classes.select("hi", "lo", F.col("id").alias("_rep")).join(together.withColumnRenamed("node", "_rep"), "_rep", "left")
     out = every.drop("sig").join(reps, ["hi", "lo"], "left")

@@ -14,16 +14,22 @@ filter by chance; the threshold is set on simulated pairs that agree exactly as
 much as asked for, of which ``RECALL`` must share a filter.  Pairs that agree
 more are found more surely, equal vectors always.
 
+The code's rotations and words are drawn again from their seed by each worker,
+so what is sent with a task doesn't grow; their size follows the root of the
+number of vectors.
+
 Equal vectors are one class with a count.  Null vectors, zero vectors and those
 with null or non-finite parts link with nothing; neither do vectors of
-different lengths.  Rows without an id are in no group.  An empty table gives
-an empty result.
+different lengths.  Ids are integers; rows without one are in no group; rows
+that repeat one are vectors of their own.  Only the id and the vector are read,
+so other columns' names can't clash.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objectlake.llm.common import written
+from objectlake.llm.common import partitions, written
 from objectlake.llm.components import components
 from objectlake.llm.minhash import Forest, grouped
 
@@ -53,13 +59,19 @@ BLOCK = 2048
 PAIRS, SEED = 600, 77
 
 
-@dataclass
+@dataclass(frozen=True)
 class Code:
-    """The filters for vectors of one length: several product codes, each with a rotation and the words of its blocks."""
+    """The filters for vectors of one length: several product codes, each with a rotation and the words of its blocks, drawn from the seed."""
 
-    parts: list[tuple[np.ndarray, list[np.ndarray]]]
+    width: int
+    words: int
+    seed: int
     least: float = 0.0
 
+    @property
+    def parts(self) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+        return _drawn(self.width, self.words, self.seed)
+
     def sums(self, part: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each vector how much it agrees with the words of the first and of the second block."""
         rotation, words = self.parts[part]
@@ -108,13 +120,18 @@ def unit(rng: np.random.Generator, n: int, width: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def make_code(width: int, n: int, cosine: float, recall: float = RECALL, seed: int = SEED) -> Code:
-    """A code for ``n`` vectors of ``width`` parts; the same for the same arguments."""
+@lru_cache(maxsize=4)
+def _drawn(width: int, words: int, seed: int) -> list[tuple[np.ndarray, list[np.ndarray]]]:
     rng = np.random.default_rng([seed, width])
     sizes = [width - width // 2, width // 2] if width > 1 else [1]
+    return [(np.linalg.qr(rng.standard_normal((width, width)))[0], [unit(rng, words, s) * np.sqrt(s) for s in sizes]) for _ in range(CODES)]
+
+
+def make_code(width: int, n: int, cosine: float, recall: float = RECALL, seed: int = SEED) -> Code:
+    """A code for ``n`` vectors of ``width`` parts; the same for the same arguments."""
+    rng = np.random.default_rng([seed, width, 1])
     filters = max(64.0, n * LISTED / BY_CHANCE / CODES)
-    words = int(np.ceil(filters ** (1 / len(sizes)))) if width > 1 else 2
-    code = Code([(np.linalg.qr(rng.standard_normal((width, width)))[0], [unit(rng, words, s) * np.sqrt(s) for s in sizes]) for _ in range(CODES)])
+    code = Code(width, int(np.ceil(filters**0.5)) if width > 1 else 2, seed)
     a = unit(rng, PAIRS, width)
     b = unit(rng, PAIRS, width)
     b -= (a * b).sum(axis=1, keepdims=True) * a
@@ -124,11 +141,10 @@ def make_code(width: int, n: int, cosine: float, recall: float = RECALL, seed: i
     # the largest threshold, to a few hundredths, with which the pairs meet as often as they must
     low, high = 0.0, 6.0
     while high - low > 0.03:
-        code.least = (low + high) / 2
-        meet = sum(bool(np.intersect1d(p, q, assume_unique=True).size) for p, q in zip(code.beyond(a, code.least), code.beyond(b, code.least), strict=True))
-        low, high = (code.least, high) if meet >= recall * PAIRS else (low, code.least)
-    code.least = low
-    return code
+        least = (low + high) / 2
+        meet = sum(bool(np.intersect1d(p, q, assume_unique=True).size) for p, q in zip(code.beyond(a, least), code.beyond(b, least), strict=True))
+        low, high = (least, high) if meet >= recall * PAIRS else (low, least)
+    return replace(code, least=low)
 
 
 def classes(df: DataFrame, vector: str, key: str) -> DataFrame:
@@ -202,16 +218,18 @@ def compare(f: int, across: bool, rows: list[tuple], cosine: float) -> tuple[lis
         keep = np.ones(len(a), bool)
         keep[close] = exact >= cosine
         a, b = a[keep], b[keep]
-    if len(a):
-        who = np.unique(np.concatenate([a, b]))
-        before = [r[4][r[4] < f] for r in ((*rows[i][:4], np.asarray(rows[i][4])) for i in who)]
-        names = np.unique(np.concatenate(before))
-        if len(names):
-            has = np.zeros((n, len(names)), np.float32)
-            for i, e in zip(who, before, strict=True):
-                has[i, np.searchsorted(names, e)] = 1
-            fresh = (has @ has.T)[a, b] == 0
-            a, b = a[fresh], b[fresh]
+    if len(a):  # pairs that share a smaller filter count there
+        has: dict[int, list[int]] = {}
+        for i in np.unique(np.concatenate([a, b])).tolist():
+            for g in rows[i][4]:
+                if g < f:
+                    has.setdefault(g, []).append(i)
+        old = np.zeros((n, n), bool)
+        for members in has.values():
+            if len(members) > 1:
+                old[np.ix_(members, members)] = True
+        fresh = ~old[a, b]
+        a, b = a[fresh], b[fresh]
     if not len(a):
         return [], [], []
     links = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
@@ -230,13 +248,14 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", key: str = "vec_id
     reps = some.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("vec").alias("vec"))
     counts = some.groupBy("n").count().collect()  # a row for each length of vectors
     codes = {r.n: make_code(r.n, r["count"], cosine, recall) for r in counts}
-    found = written(decoded(reps, codes))
+    found = written(decoded(reps, codes), F.sum(F.octet_length("vec") + 8 * F.size("filters")).alias("bytes"))
     rows = found.withColumn("f", F.explode("filters"))
     sizes = rows.groupBy("f").count().where(F.col("count") > BLOCK).withColumn("_blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
     dealt = rows.join(sizes, "f", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     dealt = dealt.select("f", F.least("side", "_o").alias("x"), F.greatest("side", "_o").alias("y"), "side", "id", "copies", "vec", "filters")
-    dealt = dealt.repartition(spark.sparkContext.defaultParallelism * 4, "f", "x", "y").sortWithinPartitions("f", "x", "y", "id")
+    parts = max(4 * spark.sparkContext.defaultParallelism, partitions(spark, int(LISTED) * (found.facts["bytes"] or 0)))
+    dealt = dealt.repartition(parts, "f", "x", "y").sortWithinPartitions("f", "x", "y", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: tuple[list, list, list] = ([], [], [])
