@@ -1,9 +1,15 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 Long texts are cut before encoding, only where no match of the splitting
-pattern can span the cut, so their ids equal those of the uncut text.
-Nulls count as empty text; an empty text has no ids; repeated rows each get
-their own result.
+pattern can span the cut, so their ids equal those of the uncut text.  A long
+run of white space is one match, but for its last character where a visible one
+follows; its bytes are merged without the pattern, whose matcher would need a
+stack frame for each.
+
+Nulls count as empty text; an empty text has no ids; texts may be of any
+length; repeated rows each get their own result; an empty table gives an empty
+result.  Only the key and the text are read, so other columns' names can't
+clash; a key named ``ids`` or ``decoded`` is refused.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objectlake.llm.common import texts, worker_memory
+from objectlake.llm.common import refuse, texts, worker_memory
 
 #: Characters of text that are encoded at once, if safe boundaries allow it.
 PART_CHARS = 1 << 16
@@ -27,6 +33,10 @@ PART_CHARS = 1 << 16
 #: from letters or digits to another class, or from other characters to digits.
 SAFE = regex.compile(r"(?<=\S)(?=[ \n\t\r])|(?<=\p{L})(?=[^\p{L}\s])|(?<=\p{N})(?=[^\p{N}\s])|(?<=[^\s\p{L}\p{N}])(?=\p{N})")
 
+#: A run of white space of this many characters is encoded by itself.
+BLANK = 1 << 10
+BLANKS = regex.compile(rf"\p{{White_Space}}{{{BLANK},}}")
+
 _ENCODINGS: dict = {}
 
 
@@ -59,7 +69,17 @@ def encoding(rank_path: str, pattern: str):
 
 def encode_text(coder, text: str) -> bytes:
     """The ids of a text as little-endian unsigned 32-bit integers."""
-    return b"".join(np.array(coder.encode_ordinary(part), dtype="<u4").tobytes() for part in safe_parts(text))
+    out, at = [], 0
+
+    def plain(some: str) -> None:
+        out.extend(np.array(coder.encode_ordinary(part), dtype="<u4").tobytes() for part in safe_parts(some))
+
+    for run in BLANKS.finditer(text):
+        plain(text[at : run.start()])
+        at = run.end() - (run.end() < len(text))  # the last one may belong to what follows
+        out.append(np.array(coder._encode_single_piece(text[run.start() : at]), dtype="<u4").tobytes())
+    plain(text[at:])
+    return b"".join(out)
 
 
 def decode_ids(coder, ids: bytes, step: int = 1 << 16) -> bytes:
@@ -71,6 +91,7 @@ def decode_ids(coder, ids: bytes, step: int = 1 << 16) -> bytes:
 def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", key: str = "doc_id", decode: bool = False) -> DataFrame:
     """Returns the key, ``ids`` (binary, little-endian unsigned 32-bit) and, if asked for, ``decoded`` (binary) of every row."""
     kind = df.schema[key].dataType
+    refuse([key], ("ids", "decoded"))
     names = [key, "ids", *(["decoded"] if decode else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

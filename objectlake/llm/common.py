@@ -8,6 +8,8 @@ import shutil
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -22,7 +24,8 @@ ROOT = str(Path(__file__).resolve().parents[2])
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers that don't share the driver's path.
 
-    Where the session leaves the rows of an Arrow batch to Spark, it gets fewer: rows are whole texts here.
+    Where the session leaves the rows of an Arrow batch to Spark, it gets fewer, from then on: rows are whole texts
+    here, and Spark reads that setting as a query runs.
     Workers of local sessions have the driver's PYTHONPATH and working folder; others are sent a copy, once.
     """
     if spark.conf.get(BATCH_ROWS, None) is None:
@@ -77,13 +80,37 @@ def written(df: DataFrame, *facts: Column) -> DataFrame:
     (df.observe(seen, *facts) if facts else df).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.path, out.facts = path, seen.get if facts else {}
-    atexit.register(_remove_late, spark, path)
+    _made(spark, path)
     return out
 
 
-def _remove_late(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        remove(spark, path)
+#: Paths and table names that are deleted at the end of the process, or of ``temporary``.
+_MADE: list[tuple[SparkSession, str, str | None]] = []
+
+
+def _made(spark: SparkSession, path: str, name: str | None = None) -> None:
+    if not _MADE:
+        atexit.register(_clear, 0)
+    _MADE.append((spark, path, name))
+
+
+def _clear(since: int) -> None:
+    for spark, path, name in _MADE[since:]:
+        if spark.sparkContext._jsc is not None:
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(spark, path)
+    del _MADE[since:]
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Deletes at its end what ``written`` and ``bucketed`` have made within it."""
+    since = len(_MADE)
+    try:
+        yield
+    finally:
+        _clear(since)
 
 
 def partitions(spark: SparkSession, size: int = 0, each: int = 32 << 20) -> int:
@@ -96,16 +123,10 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     path, name, parts = scratch(spark), f"objectlake_{uuid.uuid4().hex}", min(partitions(spark), 100_000)
     df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).option("compression", "uncompressed").format("parquet").saveAsTable(name)
-    atexit.register(_drop_late, spark, path, name)
+    _made(spark, path, name)
     return spark.table(name)
 
 
-def _drop_late(spark: SparkSession, path: str, name: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        remove(spark, path)
-
-
 #: A key with more than one row in so many is joined apart, so there are fewer such keys than this.
 SHARE = 1000
 
@@ -138,15 +159,10 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
-    """A pyarrow schema for a flat DDL string such as ``a long, b binary``."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<float>": pa.list_(pa.float32())}
-    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
-
-
-def row_key(*columns: str):
-    """64 bits that stand for the columns' values."""
-    return F.xxhash64(*[F.col(c) for c in columns])
+def refuse(columns: list[str], taken: tuple[str, ...]) -> None:
+    """Columns of the caller that have the name of a result are an error, before anything runs."""
+    if clash := sorted(set(columns) & set(taken)):
+        raise ValueError(f"rename the columns {', '.join(clash)}")
 
 
 def worker_memory() -> None:

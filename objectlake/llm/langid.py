@@ -6,10 +6,13 @@ languages of one family by linear SVMs, one against one, whose votes and
 margins are summed.  Features are hashed character n-grams of whole texts, lower-cased, with all but
 letters folded to spaces.
 
-The model is fitted on at most about ``PER_LANGUAGE`` labelled documents for
-each language, drawn by a hash of the id, and at most ``LANGUAGES`` languages
-(the most frequent).  Text that is null or has no letter is ``und`` with score
-0, as is all text where nothing was learned.  Repeated rows get equal results.
+Every language with a label is learned.  The model is fitted on at most about
+``PER_LANGUAGE`` labelled documents for each language, drawn by a hash of the
+id, and on about ``SAMPLE`` in all where there are so many languages.  Text that
+is null or has no letter is ``und`` with score 0, as is all text where nothing
+was learned; equal votes go to the later code.  Texts of any length are counted
+whole.  Repeated rows get equal results; an empty table gives an empty result.
+Columns named ``lang_pred`` or ``score`` are refused.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objectlake.llm.common import texts
+from objectlake.llm.common import refuse, texts
 from objectlake.llm.features import Sparse, char_counts, fit, has_letter, normal, platt, sigmoid, thin
 
 #: Language codes by family.
@@ -39,8 +42,7 @@ FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
 
 UNKNOWN = "und"
 ORDERS, BITS = (1, 2, 3), 12
-PER_LANGUAGE = 800
-LANGUAGES = 64
+PER_LANGUAGE, SAMPLE = 800, 40_000
 PENALTY = 1e-4
 
 
@@ -114,12 +116,11 @@ def train(rows: list[tuple[str, bytes, bytes]]) -> Model:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
     """Fits a model on a bounded sample of rows with a label; features are made where the texts are."""
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
+    counts = known.groupBy(lang).count().collect()  # a row for each language
     if not counts:
         return Model()
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col(lang) == row[0], min(1.0, per_language / row[1])).otherwise(share)
+    each = min(per_language, -(-SAMPLE // len(counts)))
+    shares = known.sparkSession.createDataFrame([(r[0], min(1.0, each / r[1])) for r in counts], "_lang string, _share double")
     draw = F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,12 +134,14 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
                     value.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(lang_, pa.string()), pa.array(index, pa.binary()), pa.array(value, pa.binary())], names=["lang", "at", "x"])
 
-    sample = known.where(draw < share).select(F.col(lang), F.col(text)).mapInArrow(run, "lang string, at binary, x binary")
+    drawn = known.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), draw.alias("_draw")).join(F.broadcast(shares), "_lang").where("_draw < _share")
+    sample = drawn.select("_lang", "_text").mapInArrow(run, "lang string, at binary, x binary")
     return train([tuple(r) for r in sample.collect()])
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds ``lang_pred`` and ``score`` to the rows of ``df``, of which only the text is looked at."""
+    refuse(df.columns, ("lang_pred", "score"))
     names = [*df.columns, "lang_pred", "score"]
     place = df.columns.index(text)
 

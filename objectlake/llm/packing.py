@@ -7,8 +7,14 @@ first, greedily and at most two to a bin; the smaller ones then go, largest
 first, into the tightest gap.  Bins with the same contents are planned as one
 range of bins.  Each piece finds its place by its rank within its size.
 
-Null text counts as empty; an empty document is the single end id.  Repeated
-rows are pieces of their own.  An empty table gives an empty result.
+Null text counts as empty; an empty document is the single end id.  Texts may be
+of any length: pieces are at most ``capacity`` long.  Repeated rows are pieces
+of their own, with different places; ties in length are broken by the columns
+that order rows.  The strings of special tokens in a text get their special ids,
+as the tokenizer's own call gives them; ``plain`` makes them ordinary text.  An
+empty table gives an empty result.  Columns that have the name of a result
+(``piece``, ``start``, ``length``, ``ids`` as a key; ``sequence_id``, ``offset``,
+``rank`` in ``pack``) are refused.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from objectlake.llm.common import texts, worker_memory
+from objectlake.llm.common import refuse, texts, worker_memory
 
 CAPACITY = 2048
 END_ID = 0
@@ -55,12 +61,14 @@ class WordEncoder(dict):
     ends in white space, so that the text after it can't be encoded alone.
     """
 
-    def __init__(self, path: str, cache: int = CACHE_WORDS) -> None:
+    def __init__(self, path: str, cache: int = CACHE_WORDS, plain: bool = False) -> None:
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added))).search if added else lambda _: None
         model = json.loads(self.tokenizer.to_str())["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.merge = BPE(model["vocab"], merges, cache_capacity=0).tokenize
@@ -97,6 +105,9 @@ class WordEncoder(dict):
         out, find = [], self.__getitem__
         for text, words, first in zip(many, split, self._alone([words[0] for words in split]), strict=True):
             try:
+                if self.special(text):
+                    out.append(self._alone([text])[0])
+                    continue
                 if words[0][-1:].isspace() or not words[0] and text:
                     raise TypeError
                 out.append(first + b"".join(map(find, words[1:])))
@@ -105,23 +116,24 @@ class WordEncoder(dict):
         return out
 
 
-def tokenizer(path: str) -> WordEncoder:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordEncoder(path)
-    return _TOKENIZERS[path]
+def tokenizer(path: str, plain: bool = False) -> WordEncoder:
+    if (path, plain) not in _TOKENIZERS:
+        _TOKENIZERS[path, plain] = WordEncoder(path, plain=plain)
+    return _TOKENIZERS[path, plain]
 
 
-def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text", key: str = "doc_id") -> DataFrame:
+def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text", key: str = "doc_id", plain: bool = False) -> DataFrame:
     """Tokenizes every text, adds the end id and cuts what is longer than ``capacity``; the first piece takes the odd rest.
 
     Returns the key, ``piece``, ``start``, ``length`` and ``ids`` (binary, little-endian unsigned 32-bit).
     """
+    refuse([key], ("piece", "start", "length", "ids"))
     kind = df.schema[key].dataType.simpleString()
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memory()
-        coder = tokenizer(path)
+        coder = tokenizer(path, plain)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 of, number, starts, lengths, ids = [], [], [], [], []
@@ -246,6 +258,7 @@ def pack(df: DataFrame, keys: list[str], capacity: int = CAPACITY, length: str =
     ``keys`` name the columns that order rows of one length.  ``df`` is read
     three times: pass a written table where it is dear to compute.
     """
+    refuse(df.columns, ("sequence_id", "offset", "rank"))
     counts = {r[0]: r[1] for r in df.groupBy(length).count().collect()}  # at most `capacity` rows
     rows = sorted(plan(counts, capacity))
     sizes = np.array([r[0] for r in rows], dtype=np.int64)

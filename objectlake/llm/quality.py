@@ -8,8 +8,10 @@ aside (Platt), and kept from a fixed threshold on.
 
 The model is fitted on at most about ``SAMPLE`` labelled documents, drawn by a
 hash of the id.  Without labels of both kinds everything that passes the rules
-is kept.  Null text has no words; repeated rows get equal results; of labels
-with one id, any bad one counts.
+is kept.  Null and empty texts have no words and fail; texts of any length are
+measured whole; repeated rows get equal results; of labels with one id, any bad
+one counts; a score right at the threshold is kept; an empty table gives an
+empty result.  Columns that have the name of a result are refused.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objectlake.llm.common import texts
+from objectlake.llm.common import refuse, texts
 from objectlake.llm.features import Sparse, char_counts, fit, normal, platt, sigmoid, thin
 
 SPACES = " \t\n\v\f\r"
@@ -120,7 +122,7 @@ def train(rows: list[tuple[bool, bytes, bytes]]) -> Model:
     if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
         aside[:] = False
     x = Sparse([r[1:] for r, out in zip(rows, aside, strict=True) if not out], WIDTH)
-    w, b = fit(x, y[~aside], "log", PENALTY, rounds=200)
+    w, b = fit(x, y[~aside], "log", PENALTY)
     held = Sparse([r[1:] for r, out in zip(rows, aside, strict=True) if out], WIDTH) if aside.any() else x
     return Model(w.astype(np.float32), b, platt(held.dot(w) + b, y[aside] if aside.any() else y))
 
@@ -151,7 +153,9 @@ def assess(df: DataFrame, model: Model, text: str = "text", threshold: float = T
     """Adds the measures, ``base_failed``, ``quality_score`` and ``kept`` to the rows of ``df``; the text itself is dropped."""
     place = df.columns.index(text)
     others = [n for n in df.columns if n != text]
-    names = [*others, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality_score", "kept"]
+    results = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality_score", "kept")
+    refuse(others, results)
+    names = [*others, *results]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()

@@ -27,11 +27,12 @@ def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def urls_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    """A page's outcome is the label with its id: pages and documents are taken to share their ids."""
+    pages = urls.split_url(table(spark, sf_dir, "pages").select("page_id", "url"))
     labels = table(spark, sf_dir, "labels").where("quality is not null or toxic is not null")
     bad = labels.select(F.col("doc_id").alias("page_id"), (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad"))
-    outcomes = urls.split_url(pages).join(bad, "page_id").select("host", "bad")
-    return urls.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
+    counts = urls.host_counts(pages.select("host", "page_id").join(bad, "page_id", "left").select("host", "bad"))
+    return urls.judge(pages, counts).select("page_id", "host", "path", "rule", "verdict")
 
 
 def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,10 +98,14 @@ WITH split AS (
   SELECT page_id, host, regexp_extract(substr(rest, n_host + 1), '^[^?#]*') AS path,
          regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare
   FROM split
-), named AS (
-  SELECT page_id, host, path, string_split(bare, '.')[-1] AS suffix,
-         CASE WHEN len(string_split(bare, '.')) > 1 THEN string_split(bare, '.')[-2] || '.' || string_split(bare, '.')[-1] ELSE bare END AS domain
+), parts AS (
+  SELECT page_id, host, path, bare, string_split(bare, '.') AS l, regexp_matches(bare, '^([0-9]+\.){{3}}[0-9]+$|^\[') AS address,
+         CASE WHEN regexp_matches(bare, '(^|\.)({second})\.[a-z]{{2}}$') THEN 2 ELSE 1 END AS k
   FROM page
+), named AS (
+  SELECT page_id, host, path, CASE WHEN address THEN bare ELSE array_to_string(l[greatest(1, len(l) - k + 1):], '.') END AS suffix,
+         CASE WHEN address THEN bare ELSE array_to_string(l[greatest(1, len(l) - k):], '.') END AS domain
+  FROM parts
 ), outcome AS (
   SELECT host, domain, suffix, CAST(coalesce(quality = 0, false) OR coalesce(toxic = 1, false) AS INTEGER) AS bad
   FROM named JOIN labels ON page_id = doc_id WHERE quality IS NOT NULL OR toxic IS NOT NULL
@@ -128,6 +133,7 @@ judged AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL OR blocked THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
 """.format(
+    second="|".join(urls.SECOND),
     strength="CASE WHEN sum(n * (n - 1) * p * (1 - p)) > 0 AND sum((bad - n * p) ** 2 - n * p * (1 - p)) > 0 THEN least(10000, greatest(1, 1 / least(1, sum((bad - n * p) ** 2 - n * p * (1 - p)) / sum(n * (n - 1) * p * (1 - p))) - 1)) ELSE 10000 END",
     share="(bad + p * k) / (n + k)",
     **{f"bound_{x}": f"({x}.share - 1.645 * sqrt({x}.share * (1 - {x}.share) / ({x}.w + 1)))" for x in "hds"},

@@ -2,20 +2,24 @@ r"""Secrets in texts, with columns only: base patterns, and linking of multipart
 
 Base spans are matches of fixed patterns.  Further, weaker parts (account
 names, endpoints, bare 40-character tokens, short values of keywords) are
-reported only where parts that complete them, strong or weak, lie near: running
-maxima over the parts of a document, sorted by place, join each weak part to
-the nearest ones without pairing them.
-
-Null text counts as empty; offsets are code points, ends exclusive; repeated
-rows each get the same spans; an empty table gives an empty result.
+reported only where parts that complete them, strong or weak, lie near and
+apart from them: an interval join of weak parts with the ends of parts before
+them and the starts of parts after them, by document and by stretches as long
+as the scope, so that each weak part meets the parts of two stretches on either
+side.
+
+Null text counts as empty; offsets are code points, ends exclusive; texts of
+any length are searched whole; spans that start together are listed by kind;
+repeated rows each get the same spans; an empty table gives an empty result.
+Carried columns that have the name of a result are refused.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from objectlake.llm.common import written
+from objectlake.llm.common import refuse, written
 
 #: (kind, pattern, group that is measured, characters it has at least): base spans, in the order in which ties are listed.
 BASE = (
@@ -102,37 +106,34 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     ``parts`` has all parts of documents, told apart by ``row``.  A client id
     needs a secret near it, a bare token or a short value an access id, an
-    endpoint both.  A part is near if the gap between the two is at most
-    ``scope``.  Strong parts complete weak ones that they overlap, and any part
-    an endpoint; a weak access id and a weak secret that overlap are one part
-    and do not complete each other.
+    endpoint both.  A part is near if it ends before the other starts, or starts
+    after it ends, and the gap is at most ``scope``: no part completes itself or
+    what it overlaps.  Weak parts within a strong one are reported with it already.
     """
     rank, start, end = F.col("rank"), F.col("start"), F.col("end")
-    strong, endpoint = rank < len(BASE), rank == 4
-    is_access, is_secret = rank.isin(1, 3), rank.isin(0, 2, 5, 6)
-
-    def event(side: int, at: Column, reach: Column, ask: bool) -> Column:
-        return F.struct(F.lit(side).alias("side"), at.alias("at"), F.lit(int(ask)).alias("ask"), reach.alias("reach"))
-
-    # side 0: strong parts, 1: weak ones about endpoints; these may overlap, so a part comes at its start and is asked for at the end of the scope.
-    # side 2: weak parts that end before a weak one, 3: those that start after it, mirrored.
-    gives = F.when(strong, F.array(event(0, start, end, False))).when(~endpoint, F.array(event(1, start, end, False), event(2, end, end, False), event(3, -start, -start, False)))
-    asks = F.when(endpoint, F.array(event(0, end + scope, start - scope, True), event(1, end + scope, start - scope, True))).when(
-        ~strong, F.array(event(0, end + scope, start - scope, True), event(2, start, start - scope, True), event(3, -end, -end - scope, True))
-    )
-    none = F.array().cast("array<struct<side:int,at:long,ask:int,reach:long>>")
-    events = parts.select("row", "start", "rank", "end", F.inline(F.concat(F.coalesce(gives, none), F.coalesce(asks, none))))
-    so_far = Window.partitionBy("row", "side").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, 0)
-
-    def has(kind: Column) -> Column:
-        return F.coalesce(F.max(F.when((F.col("ask") == 0) & kind, F.col("reach"))).over(so_far) >= F.col("reach"), F.lit(False))
-
-    near = events.withColumn("_access", has(is_access)).withColumn("_secret", has(is_secret)).where("ask = 1")
-    near = near.groupBy("row", "start", "rank", "end").agg(F.max("_access").alias("_access"), F.max("_secret").alias("_secret"))
+    weak, endpoint = rank >= len(BASE), rank == 4
+    access, secret = rank.isin(1, 3), rank.isin(0, 2, 5, 6)
+
+    def stretch(at: Column) -> Column:
+        return F.floor(at / scope).cast("long")
+
+    # side 0: parts before a weak one, by their end; side 1: parts after it, by their start
+    ends = [F.struct(F.lit(side).alias("side"), at.alias("at"), stretch(at).alias("stretch")) for side, at in enumerate((end, start))]
+    gives = parts.where(~endpoint).select("row", access.alias("access"), secret.alias("secret"), F.inline(F.array(*ends)))
+    gives = gives.groupBy("row", "side", "stretch", "at").agg(F.max("access").alias("access"), F.max("secret").alias("secret"))
+    reach = [F.struct(F.lit(side).alias("side"), low.alias("low"), high.alias("high"), stretch(low if late == 0 else high).alias("stretch")) for side, low, high in ((0, start - scope, start), (1, end, end + scope)) for late in (0, 1)]
+    asks = parts.where(weak).select("row", "start", "rank", "end", F.inline(F.array_distinct(F.array(*reach))))
+    met = asks.join(gives, ["row", "side", "stretch"]).where(F.col("at").between(F.col("low"), F.col("high")))
+    near = met.groupBy("row", "start", "rank", "end").agg(F.max("access").alias("_access"), F.max("secret").alias("_secret"))
     need = F.when(rank == 3, F.col("_secret")).when(endpoint, F.col("_access") & F.col("_secret")).otherwise(F.col("_access"))
     return near.where(need).select("row", "start", "rank", "end")
 
 
+def apart(weak: Column, base: Column) -> Column:
+    """Weak parts that no strong one holds."""
+    return F.filter(weak, lambda w: ~F.exists(base, lambda b: (b["start"] <= w["start"]) & (w["end"] <= b["end"])))
+
+
 def scan(df: DataFrame, text: str = "text", key: str = "doc_id", scope: int = SCOPE, carry: tuple[str, ...] = ()) -> DataFrame:
     """Returns the key, ``base`` and ``spans``: sorted arrays of (start, rank, end); ``rank`` counts in ``KINDS``.
 
@@ -140,9 +141,10 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id", scope: int = SC
     Weak parts are sought only where some could complete each other.  ``carry`` names
     columns that go along with their row.
     """
+    refuse([key, *carry], ("base", "spans", "weak", "row", "_text"))
     whole = F.coalesce(F.col(text), F.lit(""))
     found = df.select(F.col(key), whole.alias("_text"), *carry).withColumn("base", F.array_sort(base_spans(F.col("_text"))))
-    weak = F.when(may_link(F.col("_text"), F.col("base")), weak_spans(F.col("_text"))).otherwise(F.array().cast(f"array<{SPAN}>"))
+    weak = F.when(may_link(F.col("_text"), F.col("base")), apart(weak_spans(F.col("_text")), F.col("base"))).otherwise(F.array().cast(f"array<{SPAN}>"))
     row = F.when(F.size("weak") > 0, F.xxhash64(F.col(key), F.col("_text")))
     found = written(found.withColumn("weak", weak).select(F.col(key), "base", "weak", row.alias("row"), *carry))
     none = F.col("row").isNull()

@@ -7,8 +7,11 @@ and the order is cut into shards whose row counts are at most one apart.
 
 Both ranks come from range-partitioned sorts, in which a source of any size
 spreads over many partitions, plus the counts of the partitions before.  A
-null source is a source of its own; null text counts as empty; rows that are
-the same are ranked one after the other; an empty table gives an empty result.
+null source is a source of its own; rows that are the same, or repeat an id, are
+ranked one after the other; an empty table gives an empty result.  Texts are not
+looked at, so those of any length will do.  Of equal texts nothing is asked:
+counts of rows are equal whatever they hold.  Columns named ``shard`` or
+``slot`` are refused, as are names that begin with an underscore.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from objectlake.llm.common import written
+from objectlake.llm.common import refuse, written
 
 #: Rows in a partition of the sorts, on average.
 SORT_ROWS = 200_000
@@ -28,8 +31,7 @@ def positioned(df: DataFrame, n_rows: int, order: list, name: str) -> DataFrame:
     The sorted rows are written out, so that places stay the same if a task
     runs again.  Only a count for each partition is gathered.
     """
-    parts = max(1, -(-n_rows // SORT_ROWS))
-    spread = df.repartitionByRange(parts, *order) if parts > 1 else df.coalesce(1)
+    spread = df.repartitionByRange(max(1, -(-n_rows // SORT_ROWS)), *order)
     row = F.monotonically_increasing_id()  # partition number << 33 | row within it
     stored = written(spread.sortWithinPartitions(*order).withColumn("_row", row))
     part = F.shiftright("_row", 33)
@@ -45,8 +47,9 @@ def interleave(df: DataFrame, shards: int, source: str = "source", key: str = "d
 
     ``df`` should be narrow: its rows are sorted twice.
     """
+    refuse(df.columns, ("shard", "slot", *(c for c in df.columns if c.startswith("_"))))
     n = df.count()
-    shuffled = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
+    shuffled = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")))
     first = positioned(shuffled, n, [source, "_h", key], "_at")
     strata = first.groupBy(source).agg(F.min("_at").alias("_low"), F.count("*").alias("_of"))
     same = first[source].eqNullSafe(strata[source])

@@ -67,6 +67,34 @@ def test_families_then_pairs():
     assert [g for g, _ in got] == list(words)
 
 
+def test_predictions_by_brute_force():
+    """One separator at a time, in double loops."""
+    rng = np.random.default_rng(5)
+    codes = {"germanic": ["da", "de", "en"], "romance": ["fr"], "uralic": ["fi", "hu"]}
+    pairs = [(f, a, b) for f, some in codes.items() for i, a in enumerate(some) for b in some[i + 1 :]]
+    n = len(codes) + len(pairs)
+    model = langid.Model(list(codes), codes, rng.standard_normal((16, n)).astype(np.float32), rng.standard_normal(n).astype(np.float32), [(1.5, 0.1)] * n, pairs)
+    x = rng.standard_normal((40, 16)).astype(np.float32)
+    for row, (language, score) in zip(x, model.predict(x), strict=True):
+        chance = [1 / (1 + np.exp(-(1.5 * (sum(float(p) * float(w) for p, w in zip(row, model.weights[:, i], strict=True)) + float(model.offsets[i])) + 0.1))) for i in range(n)]
+        family = max(range(len(codes)), key=lambda i: chance[i])
+        votes = dict.fromkeys(codes[list(codes)[family]], 0.0)
+        for i, (of, a, b) in enumerate(pairs):
+            if of == list(codes)[family]:
+                votes[a] += chance[len(codes) + i]
+                votes[b] += 1 - chance[len(codes) + i]
+        best = max(votes, key=votes.get)
+        want = chance[family] / sum(chance[: len(codes)]) * (votes[best] / (len(votes) - 1) if len(votes) > 1 else 1)
+        assert language == best and abs(score - want) < 1e-4
+
+
+def test_every_language_is_learned(spark):
+    """Also where there are very many, and some are rare."""
+    rows = [(i, f"{chr(97 + i % 20)}{chr(97 + i // 20 % 20)}q " * 20, f"l{i % 100}") for i in range(300)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.families) == 100
+
+
 def test_long_texts_are_counted_whole(monkeypatch):
     text = "abc défg " * 500
     whole = features.char_counts(text, (1, 2, 3), 12, True)
@@ -110,6 +138,15 @@ def test_quality_query(spark):
     assert sum(right) > 0.95 * len(right)
 
 
+def test_quality_of_rows_kept_out_of_the_fit(spark, lake):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    label = dict(labels.select("doc_id", "quality").collect())
+    rows = queries.quality_query(spark, lake(documents=docs, labels=labels.where("doc_id % 4 <> 0"))).collect()
+    right = [r.kept == bool(label[r.doc_id]) for r in rows if r.doc_id in label and r.doc_id % 4 == 0]
+    assert len(right) > 50 and sum(right) > 0.9 * len(right)
+
+
 def test_quality_odd_rows(spark, odd, lake):
     labels = spark.createDataFrame([(5, 1, 0), (6, 0, 0), (6, 1, 0), (None, 1, 1), (7, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
     rows = queries.quality_query(spark, lake(documents=odd, labels=labels)).collect()
