@@ -3,7 +3,9 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir),
 works on all rows of ``docs`` and returns a DataFrame, which ``run`` writes as
 Parquet and reads again for the next stage.  All but the last return the
-columns of ``documents``.  Ids tell documents apart.
+columns of ``documents``.  Rows may repeat an id or have none; columns other
+than those of ``documents`` are left out; null texts go with the first stage;
+empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from objectlake.llm import langid, minhash, packing, repeats, secrets
-from objectlake.llm.common import scratch, ship, table, written
+from objectlake.llm.common import remove, scratch, ship, table, temporary, written
 
 #: A document goes if its language can't be told, or only with less than this score.
 LANGUAGE_SCORE = 0.3
@@ -79,10 +81,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each one's result is written to the shared scratch folder."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to ``documents``; each one's result is written to the shared scratch folder, where the last one's stays."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        out, path = stage(spark, docs, sf_dir), scratch(spark)
-        out.write.parquet(path)
+        path = scratch(spark)
+        with temporary():
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
