@@ -8,7 +8,7 @@ import shutil
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -94,23 +94,24 @@ def _made(spark: SparkSession, path: str, name: str | None = None) -> None:
     _MADE.append((spark, path, name))
 
 
-def _clear(since: int) -> None:
+def _clear(since: int, kept: frozenset[str] = frozenset()) -> None:
+    stay = [made for made in _MADE[since:] if made[1] in kept]
     for spark, path, name in _MADE[since:]:
-        if spark.sparkContext._jsc is not None:
+        if path not in kept and spark.sparkContext._jsc is not None:
             if name:
                 spark.sql(f"DROP TABLE IF EXISTS {name}")
             remove(spark, path)
-    del _MADE[since:]
+    _MADE[since:] = stay
 
 
 @contextmanager
-def temporary() -> Iterator[None]:
-    """Deletes at its end what ``written`` and ``bucketed`` have made within it."""
-    since = len(_MADE)
+def temporary() -> Iterator[Callable[[DataFrame], None]]:
+    """Deletes at its end what ``written`` and ``bucketed`` have made within it, but for tables that are passed to what it yields."""
+    since, keep = len(_MADE), []
     try:
-        yield
+        yield keep.append
     finally:
-        _clear(since)
+        _clear(since, frozenset(df.path for df in keep))
 
 
 def partitions(spark: SparkSession, size: int = 0, each: int = 32 << 20) -> int:
@@ -131,22 +132,53 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
 SHARE = 1000
 
 
-def join_counted(rows: DataFrame, one: DataFrame, key: str, total: int, how: str = "inner", spread: str | None = None) -> DataFrame:
+def join_counted(rows: DataFrame, one: DataFrame, key: str | list[str], total: int, how: str = "inner", spread: str | None = None) -> DataFrame:
     """Joins ``rows`` with ``one``, which has a row for each ``key`` and, as ``_n``, how many of the ``total`` rows have that key.
 
     Keys that have more than a share of the rows, of which there are fewer than
     ``SHARE``, are dealt to several tasks each, by ``spread`` (a column of ``rows``);
     of few rows no key has many.
     """
+    keys = [key] if isinstance(key, str) else key
     if total <= 10 * SHARE:
-        return rows.join(one.drop("_n"), key, how)
+        return rows.join(one.drop("_n"), keys, how)
     most = total // SHARE
-    hot = one.where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_deals"))
+    hot = one.where(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_deals"))
     deal = F.pmod(F.xxhash64(F.lit(5), F.col(spread or rows.columns[0])), F.col("_deals")).cast("int")
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_deal", F.coalesce(deal, F.lit(0))).drop("_deals")
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_deal", F.coalesce(deal, F.lit(0))).drop("_deals")
     copies = F.greatest(F.lit(1), F.when(F.col("_n") > most, F.ceil(F.col("_n") / most))).cast("int")
     each = one.withColumn("_deal", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_n")
-    return dealt.join(each, [key, "_deal"], how).drop("_deal")
+    return dealt.join(each, [*keys, "_deal"], how).drop("_deal")
+
+
+#: Bits of the map that ``likely`` sends to all tasks, 8 MB in all, in rows of Spark's bitmaps.
+BITS, BITMAP = 1 << 26, 32_768
+
+
+def _marked(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Adds ``_likely``: true for all rows whose ``key`` is in ``ids``, and for few others.
+
+    What is sent to all tasks has the same size however many ids there are; a full map marks all rows.
+    """
+    bit = F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(BITS))
+    at = F.bitmap_bit_position(bit % BITMAP + 1)
+    map_ = (bit / BITMAP).cast("int").alias("_map")
+    maps = ids.select(map_, at.alias("_bit")).groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    met = rows.select("*", map_, at.alias("_at")).join(F.broadcast(maps), "_map", "left")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    test = F.call_function("shiftright", byte, (F.col("_at") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return met.select(*rows.columns, F.coalesce(test, F.lit(False)).alias("_likely"))
+
+
+def likely(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Of ``rows`` all whose ``key`` is in ``ids``, and few others, before a join that shuffles them."""
+    return _marked(rows, ids, key).where("_likely").drop("_likely")
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """``rows`` whose ``key`` is not in ``ids``; only those that may be are shuffled.  ``rows`` are read twice."""
+    marked = _marked(rows, ids, key)
+    return marked.where("not _likely").drop("_likely").unionByName(marked.where("_likely").drop("_likely").join(ids.select(key), key, "left_anti").select(*rows.columns))
 
 
 def texts(column: pa.Array) -> list[str]:

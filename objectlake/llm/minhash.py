@@ -4,13 +4,14 @@ A document's set is its distinct five-word shingles, words lower-cased (A to Z)
 and split at ASCII white space; fewer words are one shingle.  Equal sets are
 one class, of which the smallest id stands for all, so copies are never paired.
 Documents that share a band of the signature are a bucket, and are tied to the
-smallest of them, its top.  Those tied to one top are dealt to blocks, each
-with the top, and compared in their block: by signature first, then on the full
-sets, but for pairs that are joined already.  So the work of chains of buckets
-grows with their members alone.  Where a top has several blocks and not all
-are joined by then, members outside the largest component are compared with
-those of all other blocks, each pair of blocks in a task of its own.  Tasks
-return a forest of confirmed links, not pairs.
+smallest of them, its top.  First each document goes with its smallest top
+alone: those of one top are dealt to blocks, each with the top, and compared in
+their block, by signature first, then on the full sets, but for pairs that are
+joined already.  Then all that are tied to one top are a group; where not all of
+a group are joined by now, and some of its pairs have not met, members outside
+its largest component are compared with all others, in blocks, each pair of
+blocks in a task of its own.  So the work of chains of buckets grows with their
+members alone.  Tasks return a forest of confirmed links, not pairs.
 
 Null or empty texts have no shingles and link with nothing.  Ids are integers
 and tell documents apart: rows that share one must be the same row.  Rows
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from objectlake.llm.common import join_counted, partitions, raw, written
+from objectlake.llm.common import join_counted, likely, partitions, raw, temporary, written
 from objectlake.llm.components import components
 
 WORDS = 5
@@ -264,37 +265,37 @@ def linked(ties: DataFrame, members: DataFrame, parts: int, num: int, den: int)
 
     ``ties`` has (id, top) once, ``members`` (id, n_shingles, set) of all ids and tops.
     """
-    sized = ties.join(members.select("id", "n_shingles"), "id")
-    tops = sized.groupBy("top").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_w")).select("top", "_n", _blocks(F.col("_n"), F.col("_w")).alias("_blocks"))
-    tops = written(tops, F.sum("_n").alias("n"), F.max("_blocks").alias("blocks"))
-    spread = join_counted(ties, tops, "top", tops.facts["n"] or 0, spread="id").withColumn("x", F.pmod(F.xxhash64("id", "top"), F.col("_blocks")).cast("int"))
-    heads = tops.select(F.col("top").alias("id"), "top", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("x"))
-    placed = spread.select("id", "top", "x").unionByName(heads).join(members.select("id", "set"), "id")
-    placed = placed.withColumn("y", F.col("x")).withColumn("side", F.lit(0)).withColumn("joined", F.col("id"))
-    together = components(_compared(placed, parts, num, den))
-    wide = tops.where("_blocks > 1").select("top")
-    if (tops.facts["blocks"] or 1) == 1:
-        return together
-    # what blocks have left apart
-    together = written(together)
-    some = ties.join(wide, "top").unionByName(wide.select(F.col("top").alias("id"), "top"))
-    some = written(some.join(together.withColumnRenamed("node", "id"), "id", "left").select("id", "top", F.coalesce("component", "id").alias("joined")).join(members.select("id", "n_shingles"), "id"))
-    groups = some.groupBy("top", "joined").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_w"))
+    sizes, sets = members.select("id", "n_shingles"), members.select("id", "set")
+    first = ties.groupBy("id").agg(F.min("top").alias("top"))
+    tops = first.join(sizes, "id").groupBy("top").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_w"))
+    tops = written(tops.select("top", "_n", _blocks(F.col("_n"), F.col("_w")).alias("_blocks")), F.sum("_n").alias("n"))
+    dealt = join_counted(first, tops, "top", tops.facts["n"] or 0, spread="id").select("id", "top", F.pmod(F.xxhash64("id", "top"), F.col("_blocks")).cast("int").alias("x"))
+    dealt = written(dealt.unionByName(tops.select(F.col("top").alias("id"), "top", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("x"))))
+    placed = dealt.join(sets, "id").withColumn("y", F.col("x")).withColumn("side", F.lit(0)).withColumn("joined", F.col("id"))
+    together = written(components(_compared(placed, parts, num, den)))
+    # groups that are not of one component, unless all their pairs have met
+    some = ties.union(ties.select(F.col("top").alias("id"), "top").distinct())
+    some = some.join(together.withColumnRenamed("node", "id"), "id", "left").select("id", "top", F.coalesce("component", "id").alias("joined"))
+    some = written(some.join(sizes, "id").join(dealt.select("id", "top", "x", F.lit(True).alias("_met")).dropDuplicates(["id", "top"]), ["id", "top"], "left"))
+    groups = some.groupBy("top", "joined").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_w"), F.count("_met").alias("_met"), F.max("x").alias("_x"))
     order = F.struct("_n", "joined")
-    main = groups.groupBy("top").agg(F.max_by("joined", order).alias("_main"), F.max_by("_n", order).alias("_mn"), F.max_by("_w", order).alias("_mw"), F.sum("_n").alias("_n"), F.sum("_w").alias("_w"))
-    main = main.where("_n > _mn").select("top", "_main", "_n", _blocks(F.col("_mn"), F.col("_mw")).alias("_wide"), _blocks(F.col("_n") - F.col("_mn"), F.col("_w") - F.col("_mw")).alias("_few"))
+    main = groups.groupBy("top").agg(F.max_by("joined", order).alias("_main"), F.max_by("_n", order).alias("_mn"), F.max_by("_w", order).alias("_mw"), F.sum("_n").alias("_n"), F.sum("_w").alias("_w"), F.sum("_met").alias("_met"), F.max("_x").alias("_x"))
+    main = main.where("_n > _mn and (_met < _n or _x > 0)")
+    whole = _blocks(F.col("_n"), F.col("_w")) == 1  # a small group is one block
+    few = F.when(whole, 1).otherwise(_blocks(F.col("_n") - F.col("_mn"), F.col("_w") - F.col("_mw")))
+    main = main.select("top", "_main", "_n", few.cast("int").alias("_few"), F.when(whole, 0).otherwise(_blocks(F.col("_mn"), F.col("_mw"))).cast("int").alias("_wide"))
     main = written(main, F.sum("_n").alias("n"))
     if not main.facts["n"]:
         return together
     # blocks 0 to _few - 1 hold what is outside the largest component, the others that component; pairs of the latter are left out
-    few = F.col("joined") != F.col("_main")
-    here = join_counted(some, main, "top", main.facts["n"], spread="id")
+    apart = (F.col("joined") != F.col("_main")) | (F.col("_wide") == 0)
+    here = join_counted(some.select("id", "top", "joined"), main, "top", main.facts["n"], spread="id")
     h = F.xxhash64(F.lit(3), "id")
-    here = here.withColumn("side", F.when(few, F.pmod(h, F.col("_few"))).otherwise(F.col("_few") + F.pmod(h, F.col("_wide"))).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.when(few, F.col("_few") + F.col("_wide")).otherwise(F.col("_few")).cast("int") - 1))
+    here = here.withColumn("side", F.when(apart, F.pmod(h, F.col("_few"))).otherwise(F.col("_few") + F.pmod(h, F.col("_wide"))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.when(apart, F.col("_few") + F.col("_wide")).otherwise(F.col("_few")).cast("int") - 1))
     here = here.withColumn("_o", other).withColumn("x", F.least("side", "_o")).withColumn("y", F.greatest("side", "_o"))
-    more = _compared(here.select("id", "top", "x", "y", "side", "joined").join(members.select("id", "set"), "id"), parts, num, den)
-    return components(more.unionByName(together.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    more = _compared(here.select("id", "top", "x", "y", "side", "joined").join(sets, "id"), parts, num, den)
+    return written(components(more.unionByName(together.select(F.col("node").alias("a"), F.col("component").alias("b")))))
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", num: int = 85, den: int = 100) -> DataFrame:
@@ -302,23 +303,31 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", num:
 
     Two documents link if den * intersection >= num * union of their sets.
     """
-    spark = df.sparkSession
     n_bands, n_rows = bands_rows(num, den)
     every = written(signed(df, text, key, n_bands * n_rows))
     some = every.where("id is not null and n_shingles > 0")
-    classes = some.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    classes = some.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.count("*").alias("_n"))
+    classes = written(classes, F.sum("_n").alias("n"))
+    with temporary() as keep:
+        together = _together(df, text, key, classes, n_bands, n_rows, num, den)
+        keep(together)
+    reps = classes.select("hi", "lo", "_n", F.col("id").alias("_rep")).join(together.withColumnRenamed("node", "_rep"), "_rep", "left")
+    out = join_counted(every.drop("sig"), reps, ["hi", "lo"], classes.facts["n"] or 0, "left", "id")
+    group = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("component", "_rep")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", group.alias("component_id"), F.coalesce(F.col("id") == group, F.lit(False)).alias("kept"))
+
+
+def _together(df: DataFrame, text: str, key: str, classes: DataFrame, n_bands: int, n_rows: int, num: int, den: int) -> DataFrame:
+    """Rows (node, component) of the classes that link with others; written."""
+    spark = df.sparkSession
     bands = written(banded(classes, n_bands, n_rows))
     tops = written(bands.groupBy("band").agg(F.min("id").alias("top"), F.count("*").alias("_n")).where("_n > 1"), F.sum("_n").alias("n"))
     ties = written(join_counted(bands, tops, "band", tops.facts["n"] or 0, spread="id").where("id != top").select("id", "top").distinct())
     wanted = ties.select("id").union(ties.select("top")).distinct()
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text"))
-    members = written(_sets(wanted.join(rows, "id").select("id", "_text").dropDuplicates(["id"])), F.sum("n_shingles").alias("n"))
+    members = written(_sets(likely(rows, wanted).join(wanted, "id").select("id", "_text").dropDuplicates(["id"])), F.sum("n_shingles").alias("n"))
     parts = max(4 * spark.sparkContext.defaultParallelism, partitions(spark, 8 * (members.facts["n"] or 0)))
-    together = linked(ties, members, parts, num, den)
-    reps = classes.select("hi", "lo", F.col("id").alias("_rep")).join(together.withColumnRenamed("node", "_rep"), "_rep", "left")
-    out = every.drop("sig").join(reps, ["hi", "lo"], "left")
-    group = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("component", "_rep")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", group.alias("component_id"), F.coalesce(F.col("id") == group, F.lit(False)).alias("kept"))
+    return linked(ties, members, parts, num, den)
 
 
 def _sets(rows: DataFrame) -> DataFrame:

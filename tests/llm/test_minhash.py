@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from objectlake.llm import components, minhash, queries
+from objectlake.llm import common, components, minhash, queries
 
 
 def brute_set(text):
@@ -136,6 +136,25 @@ def test_large_groups_that_blocks_leave_apart(spark, monkeypatch):
     assert got == {i: i - i % 2 for i in sets if i > 1}
 
 
+def test_likely_rows(spark, monkeypatch):
+    """All that is asked for stays, and little else."""
+    ids = spark.range(0, 4000, 2).withColumn("id", minhash.F.col("id") * 7919)
+    rows = spark.range(0, 40_000).withColumn("id", minhash.F.col("id") * 7919)
+    got = {r.id for r in common.likely(rows, ids).collect()}
+    assert {i * 7919 for i in range(0, 4000, 2)} <= got and len(got) < 2100
+    monkeypatch.setattr(common, "BITS", 1 << 15)
+    assert {i * 7919 for i in range(0, 4000, 2)} <= {r.id for r in common.likely(rows, ids).collect()}
+    assert common.likely(rows, ids.limit(0)).count() == 0
+    assert {r.id for r in common.without(rows, ids).collect()} == {r.id for r in rows.collect()} - {i * 7919 for i in range(0, 4000, 2)}
+
+
+def test_hot_classes(spark, monkeypatch):
+    """Most rows are copies of one text, and keys with more than a few rows are split."""
+    monkeypatch.setattr(common, "SHARE", 10)
+    docs = {i: "one text that very many rows have" if i % 4 else f"a text that number {i} has alone" for i in range(300)}
+    assert found(minhash.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))) == brute(docs)
+
+
 def test_low_similarity(spark):
     """Most pairs near 0.5 share none of 21 bands of 6."""
     rng = random.Random(6)
