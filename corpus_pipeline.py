@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from objectlake.llm import langid, minhash, packing, repeats, secrets
-from objectlake.llm.common import remove, scratch, ship, table, temporary, written
+from objectlake.llm.common import remove, scratch, ship, table, temporary, without, written
 
 #: A document goes if its language can't be told, or only with less than this score.
 LANGUAGE_SCORE = 0.3
@@ -39,12 +39,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies: one with the smallest id, or any where none has an id.  Rows without words are in no group and stay."""
     ship(spark)
     rows = written(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))  # rows that repeat one id, or have none, are told apart
-    near = minhash.near_duplicates(rows, key="_row", num=SIMILAR).select(F.col("doc_id").alias("_row"), "component_id")
-    near = written(near.join(rows.select("_row", "doc_id"), "_row"))
+    with temporary() as keep:
+        near = minhash.near_duplicates(rows, key="_row", num=SIMILAR).select(F.col("doc_id").alias("_row"), "component_id")
+        near = written(near.join(rows.select("_row", "doc_id"), "_row"))
+        keep(near)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")
     stay = near.groupBy("component_id").agg(first).select("first._row")
-    gone = near.select("_row").join(stay, "_row", "left_anti")
-    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
+    return without(rows, near.select("_row").join(stay, "_row", "left_anti"), "_row").select(*COLUMNS)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
