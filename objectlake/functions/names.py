@@ -38,6 +38,11 @@ def parse_id(text: str) -> int:
     return int(text)
 
 
+def valid_id(text: Column) -> Column:
+    """Whether a text is an id: a whole number from 1 to the largest of 64 bits."""
+    return F.coalesce(text.rlike(r"\A[+-]?[0-9]+\z") & (text.try_cast("bigint") > 0), F.lit(False))
+
+
 def int_or(text: str | None, default: int) -> int:
     return int(text) if re.fullmatch(r"[+-]?[0-9]+", text or "") and abs(int(text)) <= LONG else default
 
@@ -47,14 +52,3 @@ def object_key(project: Column, class_: Column, id_: Column) -> Column:
     zero = F.unhex(F.lit("00"))
     scope = F.when(project == "", F.unhex(F.lit(""))).otherwise(F.concat(F.encode(project, "utf-8"), zero))
     return F.concat(F.unhex(F.lit("02")), scope, F.encode(class_, "utf-8"), zero, F.unhex(F.lpad(F.hex(id_), 16, "0")))
-
-
-def class_key(project: Column, class_: Column) -> Column:
-    scope = F.when(project == "", F.unhex(F.lit(""))).otherwise(F.concat(F.encode(project, "utf-8"), F.unhex(F.lit("00"))))
-    return F.concat(F.unhex(F.lit("01")), scope, F.encode(class_, "utf-8"))
-
-
-def prefix_end(prefix: bytes) -> bytes | None:
-    """The smallest key above all that start with ``prefix``; None if there is none."""
-    kept = prefix.rstrip(b"\xff")
-    return kept[:-1] + bytes([kept[-1] + 1]) if kept else None

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from objectlake.functions.render import render, render_variant
+from objectlake.functions import render
+from objectlake.sources import documents
 
 
 def lower(col: Column) -> Column:
@@ -28,30 +32,93 @@ def like_regex(pattern: str, ci: bool) -> str:
     return f"(?s{'iu' if ci else ''})\\A{body}\\z"
 
 
-def eq(field: Column, value: str, ci: bool = True) -> Column:
-    return lower(field) == lower(F.lit(value)) if ci else field == F.lit(value)
+def same(text: Column, value: str, ci: bool = True) -> Column:
+    """Whether texts are equal.  Only values with an i or a sigma need the letters that lower case treats apart."""
+    if not ci:
+        return text == F.lit(value)
+    plain = F.lower(text)
+    if set(value.lower()) & set("iσς\u0307"):
+        plain = F.when(text.contains("İ") | text.contains("Σ"), lower(text)).otherwise(plain)
+    return plain == lower(F.lit(value))
 
 
-def like(field: Column, pattern: str, ci: bool = True) -> Column:
+def matches(text: Column, pattern: str, ci: bool = True) -> Column:
     """Case folding as in regular expressions.  Case-sensitive patterns are LIKE, of which Spark pushes prefixes down."""
-    return field.rlike(like_regex(pattern, True)) if ci else field.like(pattern.replace("\\", "\\\\"))
+    return text.rlike(like_regex(pattern, True)) if ci else text.like(pattern.replace("\\", "\\\\"))
+
+
+def number(value: str) -> float | None:
+    try:
+        x = float(value) if re.fullmatch(r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?", value, re.A) else math.nan
+    except OverflowError:
+        return None
+    return x if math.isfinite(x) else None
+
+
+@dataclass(frozen=True)
+class Typed:
+    """A typed column.  Numbers are compared as such where a value is the text of just one, so that the test reaches the scan."""
+
+    column: Column
+    kind: T.DataType
+
+    def eq(self, value: str, ci: bool) -> Column:
+        if isinstance(self.kind, T.IntegralType) and re.fullmatch(r"-?[1-9][0-9]{0,17}|0", value):
+            return self.column == F.lit(int(value))
+        if isinstance(self.kind, T.DoubleType) and (x := number(value)) is not None and render.fixed_text(x) == value:
+            return self.column == F.lit(x)
+        return same(render.render(self.column, self.kind), value, ci)
+
+    def like(self, pattern: str, ci: bool) -> Column:
+        return matches(render.render(self.column, self.kind), pattern, ci)
+
+
+@dataclass(frozen=True)
+class Json:
+    """A top-level field of JSON text, by its exact name.
+
+    Equality is decided on the few texts that hold the value or an equal
+    number.  Lists and objects, whose form needs a Python worker, are left out
+    where the value can't be one's.
+    """
+
+    text: Column
+    name: str
+
+    def _form(self, nested: bool) -> Column:
+        return render.render_variant(documents.parse_column(self.text), self.name, nested)
+
+    def eq(self, value: str, ci: bool) -> Column:
+        nested = (value.lower() if ci else value).startswith(("[", "map["))
+        exact = same(self._form(nested), value, ci)
+        if nested or not re.fullmatch(r"[\w. -]+", self.name):
+            return exact
+        raw = F.get_json_object(self.text, f"$['{self.name}']")
+        may = same(raw, value, ci)
+        if (x := number(value)) is not None:
+            may = may | (raw.try_cast("double") == F.lit(x))
+        return F.when(may, exact).otherwise(F.lit(False))
+
+    def like(self, pattern: str, ci: bool) -> Column:
+        return matches(self._form(pattern[:1].lower() in ("%", "_", "[", "m")), pattern, ci)
 
 
 def parse_ci(value: str | None) -> bool:
     return value not in ("false", "0")
 
 
-def typed_fields(df: DataFrame, id_column: str | None = None) -> Callable[[str], Column | None]:
+def typed_fields(df: DataFrame, id_column: str | None = None) -> Callable[[str], Typed | None]:
     """Fields of a typed table, by exact name; the id is no field."""
     kinds = {f.name: f.dataType for f in df.schema if f.name != id_column and f.name != "id"}
-    return lambda name: render(df[f"`{name}`"], kinds[name]) if name in kinds else None
+    return lambda name: Typed(df[f"`{name}`"], kinds[name]) if name in kinds else None
 
 
-def document_fields(doc: Column, nested: bool = True) -> Callable[[str], Column | None]:
-    return lambda name: render_variant(doc, name, nested)
+def json_fields(text: Column) -> Callable[[str], Json]:
+    """Fields of JSON objects; what is no object has none."""
+    return lambda name: Json(text, name)
 
 
-def parse_filters(params: Mapping[str, str | list[str]], field: Callable[[str], Column | None]) -> Column | None:
+def parse_filters(params: Mapping[str, str | list[str]], field: Callable[[str], Typed | Json | None]) -> Column | None:
     """All ``eq.<field>`` and ``like.<field>`` parameters, AND-combined; None if there are none.
 
     Of a parameter given more than once the first value counts; an empty field
@@ -64,12 +131,6 @@ def parse_filters(params: Mapping[str, str | list[str]], field: Callable[[str],
         kind, _, name = key.partition(".")
         if kind not in ("eq", "like") or not name:
             continue
-        column = field(name)
-        test = F.lit(False) if column is None else (eq if kind == "eq" else like)(column, value, ci)
-        found.append(test)
+        of = field(name)
+        found.append(F.lit(False) if of is None else getattr(of, kind)(value, ci))
     return reduce(lambda a, b: a & b, found) if found else None
-
-
-def render_field(df: DataFrame, name: str) -> Column:
-    kind: T.DataType = df.schema[name].dataType
-    return render(df[name], kind)

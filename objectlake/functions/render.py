@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
+from collections.abc import Callable
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -50,13 +53,9 @@ def _general(x: float) -> str:
         return "-0" if str(x)[0] == "-" else "0"
     digits, _, power = f"{x!r}".partition("e")
     if 1e-4 <= abs(x) < 1e21:
-        from decimal import Decimal
-
         text = format(Decimal(repr(x)), "f")
         return text.rstrip("0").rstrip(".") if "." in text else text
     if not power:
-        from decimal import Decimal
-
         sign, numbers, exponent = Decimal(repr(x)).normalize().as_tuple()
         digits = "-" * sign + str(numbers[0]) + ("." + "".join(map(str, numbers[1:])) if numbers[1:] else "")
         power = str(exponent + len(numbers) - 1)
@@ -82,6 +81,11 @@ def render(col: Column, kind: T.DataType) -> Column:
     return col.cast("string")
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often the body refers to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def render_variant(doc: Column, name: str, nested: bool = True) -> Column:
     """The string form of a top-level field of a variant object, by its exact name.
 
@@ -92,10 +96,21 @@ def render_variant(doc: Column, name: str, nested: bool = True) -> Column:
         field = F.try_variant_get(doc, "$", "map<string,variant>")[name]
     else:
         field = F.try_variant_get(doc, f'$["{name}"]', "variant")
-    kind = F.schema_of_variant(field)
-    number = kind.rlike(r"\A(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)")
-    out = F.when(number, render_double(F.try_variant_get(field, "$", "double"))).when(kind.isin("STRING", "BOOLEAN"), F.try_variant_get(field, "$", "string"))
+
+    def scalar(v: Column) -> Column:
+        parts = F.struct(F.schema_of_variant(v).alias("kind"), F.try_variant_get(v, "$", "double").alias("x"), F.try_variant_get(v, "$", "string").alias("s"))
+        number = r"\A(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
+        return bind(parts, lambda p: F.when(p["kind"].rlike(number), render_double(p["x"])).when(p["kind"].isin("STRING", "BOOLEAN"), p["s"]))
+
+    out = bind(field, scalar)
     if nested:
-        text = nested_udf(F.when(kind.rlike(r"\A(ARRAY|OBJECT)"), F.to_json(field)))
-        out = out.when(kind.rlike(r"\A(ARRAY|OBJECT)"), text)
+        out = F.coalesce(out, nested_udf(F.when(F.schema_of_variant(field).rlike(r"\A(ARRAY|OBJECT)"), F.to_json(field))))
     return out
+
+
+def fixed_text(x: float) -> str | None:
+    """The shortest decimal of a number that is finite and not zero, without an exponent; else None."""
+    if x == 0 or not math.isfinite(x):
+        return None
+    text = format(Decimal(repr(x)), "f")
+    return text.rstrip("0").rstrip(".") if "." in text else text

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from objectlake.schema import BATCH, DELETE, KEYS, PUT
+from objectlake.schema import BATCH, CREATE_CLASS, DELETE, DROP_CLASS, KEYS, PUT
 
 
 def flatten(log: DataFrame) -> DataFrame:
@@ -15,10 +15,6 @@ def flatten(log: DataFrame) -> DataFrame:
     return log.select("tx_id", F.posexplode(parts).alias("seq", "m")).select("tx_id", "seq", "m.*")
 
 
-def explode_ordered(df: DataFrame, keys: list[str], array: str, position: str, value: str) -> DataFrame:
-    return df.select(*keys, F.posexplode(array).alias(position, value))
-
-
 def durable_prefix(log: DataFrame, position: str, valid: Column, segment: str | None = None) -> DataFrame:
     """The rows before the first that is not valid, within each segment if one is named.
 
@@ -72,6 +68,24 @@ def commit_groups(log: DataFrame, batch: int, tx: str = "tx_id") -> DataFrame:
     return log.groupBy(F.floor(F.col(tx) / batch).alias("batch")).agg(F.count("*").alias("n"))
 
 
-def running_valid(log: DataFrame, position: str, valid: Column) -> Column:
-    """Whether all rows so far are valid, as a window; for logs that one task can sort."""
-    return F.min(valid.cast("int")).over(Window.orderBy(position).rowsBetween(Window.unboundedPreceding, 0)) == 1
+def gapless(log: DataFrame, applied: int, tx: str = "tx_id") -> DataFrame:
+    """One row, ``last``: the last transaction before the first one after ``applied`` that is missing."""
+    ids = after(log, applied, tx).select(F.col(tx).alias("_tx")).distinct()
+    reached = ids.unionByName(log.sparkSession.createDataFrame([(applied,)], "_tx long"))
+    return reached.join(ids.select((F.col("_tx") - 1).alias("_tx")), "_tx", "left_anti").agg(F.min("_tx").alias("last"))
+
+
+def catalog_delta(log: DataFrame) -> DataFrame:
+    """What flattened mutations do to the catalog, a row for each (project, class) they touch.
+
+    ``exists`` is null where no class is made or dropped, ``next_id`` where
+    nothing is put after the last drop; ``dropped`` says that earlier ids count no more.
+    """
+    order = F.struct("tx_id", "seq")
+    drop = F.max(F.when(F.col("op") == DROP_CLASS, order))
+    last = F.max_by(F.col("op") == CREATE_CLASS, F.when(F.col("op").isin(CREATE_CLASS, DROP_CLASS), order))
+    drops = log.groupBy("project", "class").agg(drop.alias("_drop"), last.alias("exists"))
+    both = log.join(drops.select("project", "class", "_drop"), ["project", "class"])
+    later = (F.col("op") == PUT) & (F.col("_drop").isNull() | (order > F.col("_drop")))
+    ids = both.groupBy("project", "class").agg((F.max(F.when(later, F.col("id"))) + 1).alias("next_id"))
+    return drops.join(ids, ["project", "class"]).select("project", "class", "exists", "next_id", F.col("_drop").isNotNull().alias("dropped"))

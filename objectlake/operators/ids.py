@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -10,7 +10,7 @@ def max_ids(objects: DataFrame, scope: list[str], id_column: str = "id") -> Data
     return objects.groupBy(*scope).agg(F.max(id_column).alias("max_id"))
 
 
-def assign(rows: DataFrame, scope: list[str], order: list[str], last: DataFrame | None = None, rows_in_task: int = 1_000_000, spread: Column | None = None) -> DataFrame:
+def assign(rows: DataFrame, scope: list[str], order: list[str], last: DataFrame | None = None, rows_in_task: int = 1_000_000) -> DataFrame:
     """Adds ``id``: consecutive from the scope's ``max_id`` + 1 in ``order``.
 
     A scope may hold most rows: its rows are cut into ranges of the first order

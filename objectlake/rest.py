@@ -1,9 +1,10 @@
-"""The store over HTTP: JSON in and out, one writer at a time."""
+"""The store over HTTP: JSON in and out; requests run side by side."""
 
 from __future__ import annotations
 
 import json
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlsplit
 
@@ -19,12 +20,11 @@ class Api:
     """Answers requests with a status and a JSON value, None for no body."""
 
     def __init__(self, store: ObjectStore) -> None:
-        self.store, self.lock = store, threading.RLock()
+        self.store = store
 
     def handle(self, method: str, target: str, body: str = "", project: str | None = None) -> tuple[int, object]:
         try:
-            with self.lock:
-                return self._route(method, target, body, (project or "").strip())
+            return self._route(method, target, body, (project or "").strip())
         except LakeError as error:
             return error.status, {"error": str(error)}
         except Exception as error:  # a request must not end the server
@@ -49,7 +49,7 @@ class Api:
                 return 200, {"classes": store.list_classes(project), "project": project}
             case ("GET", "v1", "classes", name):
                 if not store.class_exists(project, name):
-                    raise NoClass("class does not exist")
+                    raise NoClass(f"no class {name}")
                 return 200, {"name": name, "project": project}
             case ("DELETE", "v1", "classes", name):
                 store.drop_class(name, project)
@@ -78,11 +78,26 @@ class Api:
             raise InvalidRequest(f"invalid JSON: {error}") from None
         name = value.get("name") if isinstance(value, dict) else None
         if not isinstance(name, str) or not name:
-            raise InvalidRequest("name is required")
+            raise InvalidRequest("a class needs a name, as text")
         return name
 
 
-def server(store: ObjectStore, host: str = "127.0.0.1", port: int = 8080) -> ThreadingHTTPServer:
+class Server(ThreadingHTTPServer):
+    """Looks after the store from time to time, beside the requests."""
+
+    def __init__(self, address: tuple[str, int], handler: type, store: ObjectStore) -> None:
+        super().__init__(address, handler)
+        self.store, self.busy, self.looked = store, None, time.time()
+
+    def service_actions(self) -> None:
+        if time.time() - self.looked >= 1 and not (self.busy and self.busy.is_alive()):
+            self.looked = time.time()
+            if self.store.checkpoint_due():
+                self.busy = threading.Thread(target=self.store.maintain, daemon=True)
+                self.busy.start()
+
+
+def server(store: ObjectStore, host: str = "127.0.0.1", port: int = 8080) -> Server:
     """A server to ``serve_forever``; ``shutdown`` lets running requests end."""
     api = Api(store)
 
@@ -103,4 +118,4 @@ def server(store: ObjectStore, host: str = "127.0.0.1", port: int = 8080) -> Thr
         def log_message(self, *_) -> None:
             pass
 
-    return ThreadingHTTPServer((host, port), Handler)
+    return Server((host, port), Handler, store)

@@ -68,8 +68,7 @@ def returned(doc: str, id_: int) -> dict:
 
 def parse_column(text: Column) -> Column:
     """A variant for each text that is a JSON object, else null."""
-    doc = F.try_parse_json(text)
-    return F.when(F.schema_of_variant(doc).startswith("OBJECT"), doc)
+    return F.element_at(F.transform(F.array(F.try_parse_json(text)), lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v)), 1)
 
 
 def read_json(df: DataFrame, text: str, *keep: str) -> DataFrame:

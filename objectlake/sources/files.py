@@ -2,9 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name under spark.checkpoint.dir; a temporary folder only for local sessions that set none."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="objectlake-")
+        atexit.register(shutil.rmtree, base, True)
+    return f"{base.rstrip('/')}/objectlake-{uuid.uuid4().hex}"
+
+
 class Files:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.jvm, self.root = spark.sparkContext._jvm, root.rstrip("/")

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import json
+import threading
+from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -15,12 +19,26 @@ class Generations:
     """``CURRENT`` holds the number of a generation; its manifest has what was applied.
 
     A generation is written under a name that nothing reads, then the pointer is
-    replaced.  Readers keep the generation they started with until ``collect``.
-    One writer at a time.
+    replaced.  Readers keep the generation they started with while they ``pin`` it;
+    ``collect`` leaves those.  One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType = OBJECT, keys: list[str] = KEYS) -> None:
         self.spark, self.files, self.schema, self.keys = spark, Files(spark, root), schema, keys
+        self.pins: Counter[int] = Counter()
+        self.guard = threading.Lock()
+
+    @contextmanager
+    def pin(self) -> Iterator[int]:
+        """Keeps the current generation from being collected by this process."""
+        with self.guard:
+            n = self.current()
+            self.pins[n] += 1
+        try:
+            yield n
+        finally:
+            with self.guard:
+                self.pins[n] -= 1
 
     def current(self) -> int:
         return int(self.files.read("CURRENT")) if self.files.exists("CURRENT") else 0
@@ -47,11 +65,12 @@ class Generations:
 
     def collect(self, keep: int = 1) -> None:
         """Deletes what a broken publish left above the current generation, and all below the last ``keep``."""
-        now = self.current()
-        for n in self.numbers():
-            if n > now or n <= now - keep:
-                self.files.delete(f"gen-{n}")
-                self.files.delete(f"gen-{n}.json")
+        with self.guard:
+            now = self.current()
+            for n in self.numbers():
+                if n > now or n <= now - keep and not self.pins[n]:
+                    self.files.delete(f"gen-{n}")
+                    self.files.delete(f"gen-{n}.json")
         for name in self.files.list(""):
             if name.endswith(".tmp"):
                 self.files.delete(name)

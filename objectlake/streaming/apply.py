@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from objectlake.operators import changelog
@@ -12,14 +11,38 @@ from objectlake.sources.generations import Generations
 
 
 def apply_batch(generations: Generations, log: DataFrame) -> int:
-    """Folds a part of the log into the next generation; what was applied before is skipped, so a batch may come again."""
-    applied = generations.manifest()["applied"]
+    """Folds a part of the log into the next generation, objects, classes and next ids.
+
+    Transactions are applied in order and without gaps: what comes after one
+    that is missing waits, written beside the generation, until that one is
+    there.  What was applied before is skipped, so a batch may come again.
+    """
+    spark, manifest = log.sparkSession, generations.manifest()
+    applied, waiting = manifest["applied"], manifest.get("waiting")
     fresh = changelog.after(log, applied)
-    last = fresh.agg(F.max("tx_id")).first()[0]
-    if last is None:
+    if fresh.isEmpty():
         return generations.current()
-    delta = changelog.net_delta(changelog.mutations(changelog.flatten(fresh))).withColumnRenamed("data", "doc")
-    return generations.publish(changelog.merge(generations.read(), delta), last)
+    if waiting:
+        fresh = fresh.unionByName(spark.read.schema(LOG).parquet(f"{generations.files.root}/{waiting}"))
+    fresh = changelog.after(fresh, applied).dropDuplicates(["tx_id"])
+    last = changelog.gapless(fresh, applied).first()["last"]
+    late, now = changelog.after(fresh, last), changelog.flatten(changelog.as_of(fresh, last))
+    facts = {"classes": {tuple(c) for c in manifest.get("classes", [])}, "next_ids": {(p, c): n for p, c, n in manifest.get("next_ids", [])}}
+    for row in changelog.catalog_delta(now).collect():  # a row for each class
+        scope = (row["project"], row["class"])
+        if row["exists"] is not None:
+            (facts["classes"].add if row["exists"] else facts["classes"].discard)(scope)
+        before = 1 if row["dropped"] else facts["next_ids"].get(scope, 1)
+        facts["next_ids"][scope] = max(before, row["next_id"] or 1)
+    more = {"classes": sorted(facts["classes"]), "next_ids": [[*s, n] for s, n in sorted(facts["next_ids"].items())]}
+    if not late.isEmpty():
+        more["waiting"] = f"waiting-{generations.current() + 1}"
+        late.select(*LOG.names).write.mode("overwrite").parquet(f"{generations.files.root}/{more['waiting']}")
+    delta = changelog.net_delta(changelog.mutations(now)).withColumnRenamed("data", "doc")
+    n = generations.publish(changelog.merge(generations.read(), delta), last, **more)
+    if waiting:
+        generations.files.delete(waiting)
+    return n
 
 
 def apply_stream(spark: SparkSession, log_path: str, root: str, checkpoint: str, files_a_batch: int = 256, seconds: float | None = None) -> StreamingQuery:
