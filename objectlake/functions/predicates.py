@@ -6,8 +6,9 @@ import math
 import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,20 +74,30 @@ class Typed:
         return matches(render.render(self.column, self.kind), pattern, ci)
 
 
+@lru_cache(maxsize=256)
+def _form_of(column: str, name: str, nested: bool, jvm: int) -> Column:
+    """Kept, as such an expression takes longer to build than a small class to be read."""
+    return render.render_variant(documents.parse_column(F.col(column)), name, nested)
+
+
 @dataclass(frozen=True)
 class Json:
     """A top-level field of JSON text, by its exact name.
 
-    Equality is decided on the few texts that hold the value or an equal
-    number.  Lists and objects, whose form needs a Python worker, are left out
+    Equality is decided on the few texts that hold the value, and of those on
+    the ones whose field has it, or an equal number.  Lists and objects, whose form needs a Python worker, are left out
     where the value can't be one's.
     """
 
-    text: Column
+    column: str
     name: str
 
+    @property
+    def text(self) -> Column:
+        return F.col(self.column)
+
     def _form(self, nested: bool) -> Column:
-        return render.render_variant(documents.parse_column(self.text), self.name, nested)
+        return _form_of(self.column, self.name, nested, id(SparkContext._jvm))
 
     def eq(self, value: str, ci: bool) -> Column:
         nested = (value.lower() if ci else value).startswith(("[", "map["))
@@ -97,7 +108,16 @@ class Json:
         may = same(raw, value, ci)
         if (x := number(value)) is not None:
             may = may | (raw.try_cast("double") == F.lit(x))
-        return F.when(may, exact).otherwise(F.lit(False))
+        return F.when(self._holds(value), F.when(may, exact)).otherwise(F.lit(False))
+
+    def _holds(self, value: str) -> Column:
+        """Whether the text has the value in it, or what could stand for it: escapes, exponents, more digits than a double has."""
+        if not value.isascii() or not value.isprintable() or set(value) & set('"\\'):
+            return F.lit(True)
+        found = F.lower(self.text).contains(value.lower()) | self.text.contains("\\")
+        if "i" in value.lower():
+            found = found | self.text.contains("İ")
+        return found | self.text.rlike("[0-9][eE]|[0-9]{17}") if number(value) is not None else found
 
     def like(self, pattern: str, ci: bool) -> Column:
         return matches(self._form(pattern[:1].lower() in ("%", "_", "[", "m")), pattern, ci)
@@ -113,9 +133,9 @@ def typed_fields(df: DataFrame, id_column: str | None = None) -> Callable[[str],
     return lambda name: Typed(df[f"`{name}`"], kinds[name]) if name in kinds else None
 
 
-def json_fields(text: Column) -> Callable[[str], Json]:
-    """Fields of JSON objects; what is no object has none."""
-    return lambda name: Json(text, name)
+def json_fields(column: str) -> Callable[[str], Json]:
+    """Fields of JSON objects in a column; what is no object has none."""
+    return lambda name: Json(column, name)
 
 
 def parse_filters(params: Mapping[str, str | list[str]], field: Callable[[str], Typed | Json | None]) -> Column | None:

@@ -112,19 +112,19 @@ def render_numbers(t):
 
 @query_of("SELECT event_id, props FROM events WHERE CAST(json_extract(props, '$.k') AS DOUBLE) = 69")
 def json_field_eq(t):
-    return t("events").select("event_id", "props").where(parse_filters({"eq.k": "69"}, json_fields(F.col("props"))))
+    return t("events").select("event_id", "props").where(parse_filters({"eq.k": "69"}, json_fields("props")))
 
 
 @query_of("SELECT event_id, props FROM events WHERE CAST(json_extract(props, '$.k') AS VARCHAR) LIKE '%7%'")
 def json_field_like(t):
-    return t("events").select("event_id", "props").where(parse_filters({"like.k": "%7%"}, json_fields(F.col("props"))))
+    return t("events").select("event_id", "props").where(parse_filters({"like.k": "%7%"}, json_fields("props")))
 
 
 @query_of("SELECT conv_id, turn FROM conversations WHERE turn = 1 AND role = 'user'")
 def json_nested_eq(t):
     """Lists and objects are compared on their text."""
     doc = F.to_json(F.struct(F.struct(F.array(F.col("turn").cast("string"), "role").alias("b"), F.col("turn").alias("a")).alias("o")))
-    return t("conversations").select("conv_id", "turn", doc.alias("doc")).where(parse_filters({"eq.o": "map[a:1 b:[1 user]]"}, json_fields(F.col("doc")))).select("conv_id", "turn")
+    return t("conversations").select("conv_id", "turn", doc.alias("doc")).where(parse_filters({"eq.o": "map[a:1 b:[1 user]]"}, json_fields("doc"))).select("conv_id", "turn")
 
 
 @query_of("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, turn FROM conversations")

@@ -65,16 +65,24 @@ MATCHES = [
 
 def test_matcher(spark):
     df = spark.createDataFrame([(DOC,), ("[1]",), ("{",), (None,)], "t string")
-    fields = predicates.json_fields(F.col("t"))
+    fields = predicates.json_fields("t")
     for params, want in MATCHES:
         assert df.where(predicates.parse_filters(params, fields)).count() == want, params
     assert predicates.parse_filters({"limit": "10", "eq.": "x"}, fields) is None
 
 
+@pytest.mark.parametrize(("text", "value", "want"), [
+    ("6.9e1", "69", True), ("690E-1", "69", True), ("68.99999999999999999999", "69", True), ("0.69", "69", False), ('"6\\u0039"', "69", True), ('"69"', "69", True), ('"169"', "69", False), ('"İK"', "ik", True), ('"K"', "k", True), ('"a\\"b"', 'a"b', True), ('"tab\\t"', "TAB\t", True), ("1e21", "1000000000000000000000", True), ('"Éa"', "éA", True),
+])
+def test_forms_of_a_value(spark, text, value, want):
+    df = spark.createDataFrame([(f'{{"k": {text}, "other": "69 k"}}',)], "t string")
+    assert bool(df.where(predicates.parse_filters({"eq.k": value}, predicates.json_fields("t"))).count()) == want
+
+
 def test_scalar_filters_need_no_python(spark):
     """And parse a text once."""
     df = spark.createDataFrame([(DOC,)], "t string")
-    fields = predicates.json_fields(F.col("t"))
+    fields = predicates.json_fields("t")
     for params in ({"eq.price": "250"}, {"eq.lot": "k7", "like.title": "The%"}):
         plan = df.where(predicates.parse_filters(params, fields))._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and plan.lower().count("parse_json") + plan.count("parseJson") <= len(params), plan
