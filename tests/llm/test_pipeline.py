@@ -25,7 +25,7 @@ def test_stages_and_run(spark, sf, tmp_path):
     raw, a, b, c, d = pairs(docs), *map(pairs, results[:4])
     assert all(r.columns == names for r in results[:4])
     assert a == {k: t for k, t in raw.items() if re.search(r"[^\W\d_]", t or "")}
-    groups = near(a)
+    groups = near(a, cp.SIMILAR)
     assert b == {k: t for k, t in a.items() if groups[k][1] == k}
     ids = sorted(b)
     cut = repeated([(b[k] or "").encode() for k in ids])
