@@ -187,4 +187,20 @@ SELECT b.doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGIN
 FROM b LEFT JOIN kept ON kept.doc_id = b.doc_id
 """
 
-ORACLES: dict[str, str] = {"op4_suffix_array_dedup": REPEATS_SQL, "op3_embedding_near_dedup": EMBEDDINGS_SQL, "op7_url_filters": URLS_SQL, "op10_minhash_near_dedup": NEAR_SQL}
+#: CRC-32 by a table that is made from its rule, fractional ranks by seeded digests, and the cut into 40 shards.
+SHARDS_SQL = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+d AS (SELECT doc_id, source, coalesce(text, '') AS text, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+sized AS (
+  SELECT doc_id, source, h, octet_length(encode(text)) + 16 AS size,
+         xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda c, b: xor(c >> 8, t[1 + xor(c & 255, b)]), 4294967295), 4294967295) AS text_crc32
+  FROM d, crc
+),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST) - 1 + 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS f FROM sized),
+placed AS (SELECT *, row_number() OVER (ORDER BY f, source NULLS FIRST, h, doc_id NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM ranked)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(place * 40 // n AS INTEGER) AS shard,
+       CAST(place - (place * 40 // n * n + 39) // 40 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM placed
+"""
+
+ORACLES: dict[str, str] = {"op8_sharding": SHARDS_SQL, "op4_suffix_array_dedup": REPEATS_SQL, "op3_embedding_near_dedup": EMBEDDINGS_SQL, "op7_url_filters": URLS_SQL, "op10_minhash_near_dedup": NEAR_SQL}
