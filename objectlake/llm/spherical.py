@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objectlake.llm.common import partitions, written
+from objectlake.llm.common import join_counted, partitions, written
 from objectlake.llm.components import components
 from objectlake.llm.minhash import Forest, grouped
 
@@ -243,9 +243,10 @@ def compare(f: int, across: bool, rows: list[tuple], cosine: float) -> tuple[lis
 def near_duplicates(df: DataFrame, vector: str = "embedding", key: str = "vec_id", cosine: float = 0.9, recall: float = RECALL) -> DataFrame:
     """The key (as ``vec_id``), ``n_links``, ``component_id`` and ``kept`` of every row."""
     spark = df.sparkSession
-    every = classes(df, vector, key)
-    some = every.where("n > 0 and id is not null")
-    reps = some.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("vec").alias("vec"))
+    every, valid = classes(df, vector, key), (F.col("n") > 0) & F.col("id").isNotNull()
+    narrow = written(every.select("id", "n", "hi", "lo"))
+    some = narrow.where(valid)
+    reps = every.where(valid).groupBy("hi", "lo").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("vec").alias("vec"))
     counts = some.groupBy("n").count().collect()  # a row for each length of vectors
     codes = {r.n: make_code(r.n, r["count"], cosine, recall) for r in counts}
     found = written(decoded(reps, codes), F.sum(F.octet_length("vec") + 8 * F.size("filters")).alias("bytes"))
@@ -271,9 +272,9 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", key: str = "vec_id
     linked = written(dealt.mapInArrow(run, "id long, links long, root long").groupBy("id", "root").agg(F.sum("links").alias("links")))
     together = components(linked, "id", "root")
     links = linked.groupBy("id").agg(F.sum("links").alias("links"))
-    known = reps.select("hi", "lo", "id", "copies").join(links, "id", "left").join(together.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select("hi", "lo", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    out = every.select("id", "n", "hi", "lo").join(known, ["hi", "lo"], "left")
-    valid = (F.col("n") > 0) & F.col("id").isNotNull()
-    group = F.when(valid, F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias("vec_id"), F.when(valid, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), group.alias("component_id"), F.coalesce(F.col("id") == group, F.lit(False)).alias("kept"))
+    known = some.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.count("*").alias("_n"))
+    known = known.join(links, "id", "left").join(together.withColumnRenamed("node", "id"), "id", "left")
+    known = written(known.select("hi", "lo", "_n", (F.coalesce("links", F.lit(0)) + F.col("_n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
+    out = join_counted(some, known, ["hi", "lo"], sum(r["count"] for r in counts), spread="id")
+    out = out.unionByName(narrow.where(~valid).withColumn("n_links", F.lit(0).cast("long")).withColumn("component_id", F.col("id")))
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
