@@ -312,9 +312,10 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", num:
         together = _together(df, text, key, classes, n_bands, n_rows, num, den)
         keep(together)
     reps = classes.select("hi", "lo", "_n", F.col("id").alias("_rep")).join(together.withColumnRenamed("node", "_rep"), "_rep", "left")
-    out = join_counted(every.drop("sig"), reps, ["hi", "lo"], classes.facts["n"] or 0, "left", "id")
-    group = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("component", "_rep")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", group.alias("component_id"), F.coalesce(F.col("id") == group, F.lit(False)).alias("kept"))
+    out = join_counted(some.drop("sig"), reps, ["hi", "lo"], classes.facts["n"] or 0, spread="id").withColumn("component_id", F.coalesce("component", "_rep"))
+    alone = every.where("id is null or n_shingles = 0").withColumn("component_id", F.col("id"))  # no join: empty texts may be many, and of one digest
+    out = out.select("id", "n_shingles", "component_id").unionByName(alone.select("id", "n_shingles", "component_id"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def _together(df: DataFrame, text: str, key: str, classes: DataFrame, n_bands: int, n_rows: int, num: int, den: int) -> DataFrame:
