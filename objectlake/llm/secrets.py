@@ -31,7 +31,7 @@ BASE = (
 #: (kind, pattern, group that is measured, characters it has at most): weak parts, listed after the base kinds.
 WEAK = (
     ("client", r"""(?i:client_?id|account_?id|access_?key_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]{3,}""", 0, None),
-    ("endpoint", r"""\b[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D"'<>]+""", 0, None),
+    ("endpoint", r"""(?<![A-Za-z0-9_])[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D"'<>]+""", 0, None),
     ("opaque", r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", 0, None),
     ("short", BASE[0][1], 2, BASE[0][3] - 1),
 )
