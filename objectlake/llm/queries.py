@@ -203,4 +203,58 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_
 FROM placed
 """
 
-ORACLES: dict[str, str] = {"op8_sharding": SHARDS_SQL, "op4_suffix_array_dedup": REPEATS_SQL, "op3_embedding_near_dedup": EMBEDDINGS_SQL, "op7_url_filters": URLS_SQL, "op10_minhash_near_dedup": NEAR_SQL}
+
+def _either(*words: str) -> str:
+    """A pattern for the words with letters in either case, A to Z alone."""
+    return "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in words)
+
+
+_ASSIGN = rf"""({_either("password", "passwd", "secret", "token", "api_?key")})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_CLIENT = rf"""({_either("client_?id", "account_?id", "access_?key_?id", "user_?name", "login")})["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]{{3,}}"""
+
+#: (kind, pattern, group that is measured, which matches count): a bare token is a whole run of 40 characters.
+_PARTS = (
+    ("assign", _ASSIGN, 2, "length(g) >= 12"),
+    ("access", "AKIA[A-Z0-9]+", 0, "length(g) >= 18"),
+    ("hex", "[0-9a-f]+", 0, "length(g) >= 16"),
+    ("client", _CLIENT, 0, "true"),
+    ("endpoint", r"""\b[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D"'<>]+""", 0, "true"),
+    ("opaque", "[A-Za-z0-9+/=]+", 0, "length(g) = 40 AND NOT contains(g, '=')"),
+    ("short", _ASSIGN, 2, "length(g) < 12"),
+)
+
+
+def _found(rank: int, pattern: str, group: int, counts: str) -> str:
+    pattern = "'" + pattern.replace("'", "''") + "'"
+    return f"""
+  SELECT r, {rank} AS rank, stop - length(m) AS start, stop FROM (
+    SELECT r, m, g, sum(length(gap) + length(m)) OVER (PARTITION BY r ORDER BY i) AS stop
+    FROM (SELECT r, unnest(range(len(a))) AS i, unnest(a) AS m, unnest(b) AS g, unnest(c[:len(a)]) AS gap
+          FROM (SELECT r, regexp_extract_all(text, {pattern}, 0) AS a, regexp_extract_all(text, {pattern}, {group}) AS b, string_split_regex(text, {pattern}) AS c FROM t WHERE regexp_matches(text, {pattern})))
+  ) WHERE {counts}"""
+
+
+#: Places from gaps and lengths of matches; weak parts with what lies within 300 code points of them, apart from them.
+SECRETS_SQL = f"""
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS MATERIALIZED ({" UNION ALL ".join(_found(i, p, g, n) for i, (_, p, g, n) in enumerate(_PARTS))}
+),
+base AS (SELECT * FROM spans WHERE rank < 3),
+weak AS (SELECT * FROM spans w WHERE rank >= 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = w.r AND b.start <= w.start AND w.stop <= b.stop)),
+near AS (
+  SELECT w.r, w.rank, w.start, w.stop, bool_or(p.rank IN (1, 3)) AS access, bool_or(p.rank IN (0, 2, 5, 6)) AS secret
+  FROM weak w JOIN (SELECT * FROM base UNION ALL SELECT * FROM weak) p ON p.r = w.r AND p.rank <> 4
+  WHERE p.stop BETWEEN w.start - 300 AND w.start OR p.start BETWEEN w.stop AND w.stop + 300 GROUP BY ALL
+),
+told AS (SELECT * FROM base UNION ALL SELECT r, rank, start, stop FROM near WHERE CASE rank WHEN 3 THEN secret WHEN 4 THEN access AND secret ELSE access END),
+named AS (SELECT *, [{", ".join(f"'{k}'" for k, *_ in _PARTS)}][rank + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS name FROM told),
+each AS (
+  SELECT r, {", ".join(f"count(*) FILTER (rank = {i}) AS n_{k}" for i, (k, *_) in enumerate(_PARTS[:3]))},
+         string_agg(name, ',' ORDER BY start, rank, stop) FILTER (rank < 3) AS base, string_agg(name, ',' ORDER BY start, rank, stop) AS spans
+  FROM named GROUP BY r
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, *_ in _PARTS[:3])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN each USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op5_secret_scans": SECRETS_SQL, "op8_sharding": SHARDS_SQL, "op4_suffix_array_dedup": REPEATS_SQL, "op3_embedding_near_dedup": EMBEDDINGS_SQL, "op7_url_filters": URLS_SQL, "op10_minhash_near_dedup": NEAR_SQL}
